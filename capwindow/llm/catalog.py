@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from capwindow.llm import pii, secrets
+from capwindow.llm import pii, secrets, tiff, token_counts
 
 
 def queries():
     return {
         "op3_pii_anchors": pii.query,
+        "op4_tiff": tiff.query,
         "op6_secrets": secrets.query,
+        "op10_token_counts": token_counts.query,
     }
 
 
