@@ -95,16 +95,16 @@ def lzw_encode(data: bytes) -> bytes:
         put(word[0] if len(word) == 1 else table[word])
         table[longer] = following
         following += 1
-        if following == 4094:
+        if following == 4095:
             put(CLEAR)
             table, width, following = {}, 9, 258
-        elif following + 1 > (1 << width) - 1 and width < 12:
+        elif following > (1 << width) - 1 and width < 12:
             width += 1
         word = data[i : i + 1]
     if word:
         put(word[0] if len(word) == 1 else table[word])
         following += 1
-        if following + 1 > (1 << width) - 1 and width < 12:
+        if following > (1 << width) - 1 and width < 12:
             width += 1
     put(END)
     if n_bits:
