@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from capwindow.llm import pii, secrets, tiff, token_counts
+from capwindow.llm import mixing, pii, quality, secrets, tiff, token_counts
 
 
 def queries():
     return {
+        "op1_mixing": mixing.query,
         "op3_pii_anchors": pii.query,
         "op4_tiff": tiff.query,
         "op6_secrets": secrets.query,
+        "op8_host_quality": quality.query,
         "op10_token_counts": token_counts.query,
     }
 
