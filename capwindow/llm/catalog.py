@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capwindow.llm import licenses, mixing, pii, quality, secrets, tiff, token_counts
+from capwindow.llm import bpe, licenses, mixing, pii, quality, secrets, tiff, token_counts
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op6_secrets": secrets.query,
         "op7_licenses": licenses.query,
         "op8_host_quality": quality.query,
+        "op9_byte_bpe": bpe.query,
         "op10_token_counts": token_counts.query,
     }
 
