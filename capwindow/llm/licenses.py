@@ -40,6 +40,7 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.9
+SALTS = 32
 
 
 def lowered(text: Column) -> Column:
@@ -138,7 +139,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     blocks = texts.select("fp", "fp2", F.explode("lines").alias("line")).select("fp", "fp2", words_of(F.col("line")).alias("words"))
     joined = join_blocks(blocks.where(F.arrays_overlap("words", F.lit(heads))), sets, order)
     labels = joined.groupBy("fp", "fp2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    out = skinny.drop("lines").join(labels, ["fp", "fp2"], "left")
+    # Labelled texts are few; each meets the rows of a large group of copies in so many tasks as there are salts.
+    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = skinny.drop("lines").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = rows.join(salted, ["fp", "fp2", "salt"], "left")
     return out.select(
         "doc_id",
         "n_words",
