@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from capwindow.llm import bpe, licenses, mixing, pii, quality, secrets, tiff, token_counts
+from capwindow.llm import bpe, language, licenses, mixing, pii, quality, secrets, tiff, token_counts
 
 
 def queries():
     return {
         "op1_mixing": mixing.query,
+        "op2_language": language.query,
         "op3_pii_anchors": pii.query,
         "op4_tiff": tiff.query,
         "op6_secrets": secrets.query,
