@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capwindow.llm import bpe, language, licenses, mixing, pii, quality, secrets, tiff, token_counts
+from capwindow.llm import bpe, language, licenses, mixing, neardup, pii, quality, secrets, tiff, token_counts
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_language": language.query,
         "op3_pii_anchors": pii.query,
         "op4_tiff": tiff.query,
+        "op5_near_duplicates": neardup.query,
         "op6_secrets": secrets.query,
         "op7_licenses": licenses.query,
         "op8_host_quality": quality.query,
