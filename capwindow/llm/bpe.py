@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,35 +55,6 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def next_prime(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
-def two_places(hashes: list[int]) -> tuple[list[int | None], list[int | None]]:
-    """Two arrays of positions in hashes, with each position in one of its two places: hash modulo the array's size."""
-    size, rng = max(3, len(hashes)), random.Random(7)
-    while True:
-        size = next_prime(size)
-        arrays: tuple[list, list] = ([None] * size, [None] * next_prime(size + 1))
-        for item in range(len(hashes)):
-            side, moved = 0, item
-            for _ in range(500):
-                at = hashes[moved] % len(arrays[side])
-                arrays[side][at], moved = moved, arrays[side][at]
-                if moved is None:
-                    break
-                side = 1 - side if rng.random() < 0.98 else side
-                if hashes[moved] % len(arrays[side]) == at and arrays[side][at] is not None and arrays[side][at] == moved:
-                    side = 1 - side
-            if moved is not None:
-                break
-        else:
-            return arrays
-        size = int(size * 1.15) + 1
-
-
 def rank_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """The literal rank map: the ranks of pairs with the same left token keep their distances, each such row is
     shifted to where its places are free, and each entry carries its left token. Returns the shifts and the entries."""
@@ -107,6 +79,18 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def buckets_of(words: pa.Table) -> pa.Array:
+    """One array of maps from words to ids, in which a word's place is its hash modulo the number of maps."""
+    n = 2 * len(words) + 1
+    place = np.mod(words["h"].to_numpy(), n)
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(n + 1)).astype(np.int32)
+    taken = words.take(pa.array(order)).combine_chunks()
+    whole = lambda c, kind: pa.concat_arrays(taken[c].chunks).cast(kind) if len(taken) else pa.array([], kind)
+    maps = pa.MapArray.from_arrays(pa.array(starts), whole("w", pa.string()), whole("ids", pa.list_(pa.int32())))
+    return pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), maps)
+
+
 class Coder:
     """Expressions that encode words and texts, and decode ids, for one vocabulary."""
 
@@ -119,59 +103,58 @@ class Coder:
         pieces = [p.hex() for p in sorted(ranks, key=ranks.__getitem__)]
         self.spark, self.pattern = spark, java_pattern(pattern)
         self.byte_ids = F.lit([ranks[bytes((b,))] for b in range(256)]).cast("array<bigint>")
-        self.merges = self.constants(shifts=pa.array([shifts], pa.list_(pa.int64())), entries=pa.array([entries], pa.list_(pa.int64())))
-        self.pieces = self.constants(pieces=pa.array([pieces], pa.list_(pa.string())))
+        self.shifts, self.entries = (pa.array([x], pa.list_(pa.int64())) for x in (shifts, entries))
+        self.merges = spark.createDataFrame(pa.table({"shifts": self.shifts, "entries": self.entries}))
+        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
         self.known: DataFrame | None = None
-        self.sizes: list[int] = []
-
-    def constants(self, **arrays: pa.Array) -> DataFrame:
-        return self.spark.createDataFrame(pa.table(arrays))
 
     @staticmethod
-    def using(df: DataFrame, out: str, body, **tables: DataFrame) -> DataFrame:
-        """df with body(struct of the constants' rows) in column out. A subquery can't stand inside a higher-order
+    def using(df: DataFrame, out: str, table: DataFrame, body) -> DataFrame:
+        """df with body(the arrays in table's only row) in column out. A subquery can't stand inside a higher-order
         function, so it is a column that is read once, which the optimizer moves to its only use."""
         hidden = "__constants"
-        rows = F.struct(*(t.select(F.struct("*")).scalar().alias(k) for k, t in tables.items()))
-        return df.withColumn(hidden, rows).withColumn(out, let(F.col(hidden), body)).drop(hidden)
+
+        def bound(row: Column, names: list[str], held: list[Column]) -> Column:
+            return let(row[names[0]], lambda x: bound(row, names[1:], [*held, x])) if names else body(*held)
+
+        value = let(F.col(hidden), lambda row: bound(row, table.columns, []))
+        return df.withColumn(hidden, table.select(F.struct("*")).scalar()).withColumn(out, value).drop(hidden)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     @staticmethod
-    def rank(table: Column, left: Column, right: Column) -> Column:
+    def rank(shifts: Column, entries: Column, left: Column, right: Column) -> Column:
         """The id of the joined pair; more than the mask where the entry is another pair's."""
-        entry = F.get(table["entries"], (F.get(table["shifts"], left.cast("int")) + right).cast("int"))
+        entry = F.get(entries, (F.get(shifts, left.cast("int")) + right).cast("int"))
         return entry.bitwiseXOR(F.shiftleft(left, _ID_BITS))
 
-    def fold(self, table: Column, word: Column) -> Column:
-        """The word's ids: a state of ids and the ranks of neighbours, in which a merge changes two ranks."""
+    def fold(self, shifts: Column, entries: Column, word: Column) -> Column:
+        """The word's ids: the state holds ids and the ranks of neighbours. Slices and concatenations of arrays are
+        slow outside generated code, so a merge rewrites one place and filters out the next."""
         start = F.transform(
             F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0)),
             lambda c: F.get(self.byte_ids, F.ascii(c)),
         )
         none = F.lit(1 << 40)
 
-        def begin(ids: Column) -> Column:
-            ranks = F.transform(ids, lambda a, i: F.coalesce(self.rank(table, a, F.get(ids, i + 1)), none))
+        def state(ids: Column) -> Column:
+            ranks = F.transform(ids, lambda a, i: F.coalesce(self.rank(shifts, entries, a, F.get(ids, i + 1)), none))
             return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
         def step(at: Column, _: Column) -> Column:
-            def merge(m: Column) -> Column:
-                least, p = m["least"], m["p"]
-                ids, ranks = at["ids"], at["ranks"]
-                joined = self.rank(table, F.get(ids, p - 2), least)
-                before = F.when(p > 1, F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(joined))).otherwise(F.slice(ranks, F.lit(1), F.lit(0)))
-                new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-                after = F.coalesce(self.rank(table, least, F.get(ids, p + 1)), none)
-                return F.struct(new_ids.alias("ids"), F.concat(before, F.array(after), F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"))
-
-            ranks = at["ranks"]
-            found = let(F.array_min(ranks), lambda least: F.struct(least.alias("least"), F.array_position(ranks, least).cast("int").alias("p")))
-            return let(found, lambda m: F.when(m["least"] > _MASK, at).otherwise(merge(m)))
+            def merge(least: Column, p: Column) -> Column:
+                put = F.transform(at["ids"], lambda x, i: F.when(i == p, least).otherwise(x))
+                return let(F.filter(put, lambda x, i: i != p + 1), state)
+
+            def go_on(least: Column) -> Column:
+                place = F.array_position(at["ranks"], least).cast("int") - 1
+                return F.when(least > _MASK, at).otherwise(let(place, lambda p: merge(least, p)))
+
+            return let(F.array_min(at["ranks"]), go_on)
 
         steps = F.sequence(F.lit(2), F.octet_length(word))
-        folded = F.aggregate(steps, let(start, begin), step, lambda at: at["ids"])
+        folded = F.aggregate(steps, let(start, state), step, lambda at: at["ids"])
         return F.when(F.octet_length(word) == 1, start).otherwise(folded).cast("array<int>")
 
     def learn(self, words: DataFrame, most: int = TABLE_WORDS) -> None:
@@ -179,36 +162,27 @@ class Coder:
         counted = words.where(F.length("w") <= LONGEST).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).select("w")
         words = counted.repartition("w").select("w", F.xxhash64("w").alias("h"))
         # At most so many rows as the table has words.
-        found = self.using(words, "ids", lambda t: self.fold(t["merges"], F.col("w")), merges=self.merges).toArrow()
-        arrays = two_places(found["h"].to_pylist())
-        columns = {}
-        for k, places in enumerate(arrays):
-            at = pa.array(places, pa.int64())
-            for name, column in (("w", pa.string()), ("ids", pa.list_(pa.int32()))):
-                taken = found[name].combine_chunks().cast(column).take(at)
-                columns[f"{name}{k}"] = pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken)
-        self.known, self.sizes = self.constants(**columns), [len(a) for a in arrays]
+        found = self.using(words, "ids", self.merges, lambda *merges: self.fold(*merges, F.col("w"))).toArrow()
+        self.known = self.spark.createDataFrame(pa.table({"shifts": self.shifts, "entries": self.entries, "known": buckets_of(found)}))
 
     def with_ids(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         """df with the ids of its texts: of each word the shared ones, or its fold."""
         words = self.words(F.col(text_col))
         if self.known is None:
-            return self.using(df, out, lambda t: F.flatten(F.transform(words, lambda w: self.fold(t["merges"], w))), merges=self.merges)
+            return self.using(df, out, self.merges, lambda *merges: F.flatten(F.transform(words, lambda w: self.fold(*merges, w))))
+
+        def ids(shifts: Column, entries: Column, known: Column) -> Column:
+            def of(w: Column) -> Column:
+                place = F.pmod(F.xxhash64(w), F.size(known).cast("bigint")).cast("int")
+                return F.coalesce(F.try_element_at(F.get(known, place), w), self.fold(shifts, entries, w))
 
-        def ids(table: Column, word: Column, h: Column) -> Column:
-            known, found = table["known"], self.fold(table["merges"], word)
-            for k, size in reversed(list(enumerate(self.sizes))):
-                at = F.pmod(h, F.lit(size)).cast("int")
-                found = F.when(F.get(known[f"w{k}"], at) == word, F.get(known[f"ids{k}"], at)).otherwise(found)
-            return found
+            return F.flatten(F.transform(words, of))
 
-        body = lambda t: F.flatten(F.transform(words, lambda w: let(F.xxhash64(w), lambda h: ids(t, w, h))))
-        return self.using(df, out, body, merges=self.merges, known=self.known)
+        return self.using(df, out, self.known, ids)
 
     def with_bytes(self, df: DataFrame, ids_col: str, out: str) -> DataFrame:
         """df with the bytes that its ids stand for."""
-        body = lambda t: F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(t["pieces"]["pieces"], i)), ""))
-        return self.using(df, out, body, pieces=self.pieces)
+        return self.using(df, out, self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), "")))
 
 
 def encode_texts(df: DataFrame, coder: Coder, text_col: str = "text", out: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
