@@ -5,7 +5,7 @@ Each tree branches a set along few randomly chosen minwise tokens: a path's hash
 or at times two, so that a pair at the wanted similarity keeps one common branch on average. Sets that meet in a node go on
 together; nodes that are small are compared exhaustively on their sketches, larger ones branch on. The first levels, and
 later ones of nodes too large for a task, branch in Spark; a node that fits in a task branches on inside it. Independent trees are repeated to reach
-the target recall. Every pair that the sketches don't rule out is confirmed on the full sets.
+the target recall. Every pair that the sketches don't rule out is confirmed on the full sets; groups of such sets, not pairs, pass between the steps.
 Classes are the connected components of the confirmed links, found by alternating stars over distributed edges.
 
 At the deepest level a node that is still large holds sets that are nearly all alike. It is cut into groups that share pivots.
@@ -30,7 +30,7 @@ from capwindow.llm import common
 #: Coordinates of a sketch, trees, and levels that every set branches before nodes are looked at.
 WIDTH, TREES, FIRST_LEVELS = 128, 12, 2
 #: Nodes up to LEAF sets are compared exhaustively; nodes up to NODE sets are handled in one task.
-LEAF, NODE, DEEPEST, PIVOTS = 128, 4096, 18, 16
+LEAF, NODE, DEEPEST, PIVOTS = 128, 2048, 18, 16
 #: Pairs whose sketches agree this many standard deviations below the wanted similarity are still confirmed.
 DEVIATIONS = 4.5
 
@@ -130,28 +130,64 @@ def sketches_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
 
-def similar_pairs(members: np.ndarray, sketches: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+def linked_groups(n: int, a: list[int], b: list[int]) -> Iterator[list[int]]:
+    """The connected groups of two or more among n items with these links."""
+    parent = list(range(n))
+    for x, y in zip(a, b):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    groups: dict[int, list[int]] = {}
+    for x in {*a, *b}:
+        y = x
+        while parent[y] != y:
+            y = parent[y]
+        groups.setdefault(y, []).append(x)
+    yield from groups.values()
+
+
+def similar_groups(members: np.ndarray, sketches: np.ndarray, agree: int) -> Iterator[np.ndarray]:
+    """Groups of a small node that are connected by pairs whose sketches agree in so many places."""
     s = sketches[members]
     same = np.zeros((len(s), len(s)), np.int16)
     for at in range(0, len(s), 16):
         same[at : at + 16] = (s[at : at + 16, None] == s[None]).sum(axis=2)
     a, b = np.nonzero(np.triu(same >= agree, 1))
-    return members[a], members[b]
-
-
-def leaves(path: int, sketches: np.ndarray, second: float, level: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The small nodes under one node, each with its path and members."""
+    for group in linked_groups(len(s), a.tolist(), b.tolist()):
+        yield members[group]
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections, as products of incidence matrices over stretches of the shingles."""
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)))
+    step = 8192
+    cuts = np.searchsorted(place, np.arange(0, int(place[-1]) + 1 + step, step))
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[lo:hi], place[lo:hi] - k * step] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def leaves(path: int, sketches: np.ndarray, second: float, level: int) -> Iterator[np.ndarray]:
+    """The members of the small nodes under one node."""
     todo = [(path, np.arange(len(sketches)), level)]
     while todo:
         path, members, level = todo.pop()
         if len(members) <= LEAF:
-            yield path, members
+            yield members
             continue
         here = np.full(len(members), path, np.uint64)
         if level >= DEEPEST:
             step = LEAF - PIVOTS
-            for i, at in enumerate(range(PIVOTS, len(members), step)):
-                yield int(mixed(here[:1] + _U64(i))[0]), np.concatenate((members[:PIVOTS], members[at : at + step]))
+            for at in range(PIVOTS, len(members), step):
+                yield np.concatenate((members[:PIVOTS], members[at : at + step]))
             continue
         rows, paths = children(here, sketches[members], second)
         order = np.argsort(paths, kind="stable")
@@ -220,7 +256,8 @@ def branch(nodes: DataFrame, second: float, levels: int, roots: bool) -> DataFra
 
 
 def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, a, b): pairs of keys that may reach the similarity, each found at least once with the target recall."""
+    """(near, set_key): groups of at most LEAF sets, such that each pair that reaches the similarity is in some group with the target
+    recall. A group stands for its pairs, so its rows grow with its members."""
     second = 1 / similarity - 1
     agree = math.floor(WIDTH * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / WIDTH)))
     rows = common.cut(branch(reps.select("set_key", "sketch"), second, FIRST_LEVELS, True))
@@ -250,23 +287,21 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
                 continue
             keys, sketches = group.column("set_key").to_pylist(), sketches_of(group.column("sketch"))
             path, level = int(group.column("node")[0].as_py()) & 0xFFFFFFFFFFFFFFFF, group.column("level")[0].as_py()
-            for leaf, members in leaves(path, sketches, second, level):
-                a, b = similar_pairs(members, sketches, agree)
-                if len(a):
-                    pairs = [(keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]) for i, j in zip(a.tolist(), b.tolist()) if keys[i] != keys[j]]
-                    here = np.full(len(pairs), leaf, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["leaf", "a", "b"])
+            for members in leaves(path, sketches, second, level):
+                for near in similar_groups(members, sketches, agree):
+                    found = sorted({keys[i] for i in near})
+                    # Trees that find the same group name it alike.
+                    name = int.from_bytes(hashlib.blake2b(b"".join(found), digest_size=8).digest(), "big", signed=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["near", "set_key"])
 
     placed = ready.join(reps.select("set_key", "sketch"), "set_key").select("node", "level", "set_key", "sketch")
     ordered = placed.repartition("node").sortWithinPartitions("node", "set_key")
-    found = ordered.mapInArrow(compared, "leaf bigint, a binary, b binary")
-    return found.groupBy("a", "b").agg(F.min("leaf").alias("leaf"))
+    return ordered.mapInArrow(compared, "near bigint, set_key binary").distinct()
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(a, b) links whose full sets reach the similarity. Within a leaf, pairs that other links connect already are not looked at."""
-    members = pairs.select("leaf", F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    needed = reps.join(members.select("set_key").distinct(), "set_key", "left_semi").select("set_key", F.col("rep").alias("__id"))
+def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(a, b): pairs that connect what the links of each group connect; links are pairs whose full sets reach the similarity."""
+    needed = reps.join(groups.select("set_key").distinct(), "set_key", "left_semi").select("set_key", F.col("rep").alias("__id"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -281,35 +316,20 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
     texts = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text"))
     read = texts.join(needed, F.col("__id2").eqNullSafe(F.col("__id"))).select("set_key", "__text")
-    sets = read.mapInArrow(full, "set_key binary, full binary")
-    stream = members.join(sets, "set_key").select("leaf", F.lit(0).alias("kind"), F.col("set_key").alias("a"), F.col("full").alias("b"))
-    stream = stream.unionByName(pairs.select("leaf", F.lit(1).alias("kind"), "a", "b"))
+    members = groups.join(read.mapInArrow(full, "set_key binary, full binary"), "set_key").select("near", "set_key", "full")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_node(batches):
-            a, b, kind = (group.column(c).to_pylist() for c in ("a", "b", "kind"))
-            full = {a[i]: np.frombuffer(b[i], np.uint64) for i in range(len(a)) if kind[i] == 0}
-            parent = {k: k for k in full}
-            links = []
-
-            def root(k: bytes) -> bytes:
-                while parent[k] != k:
-                    parent[k] = k = parent[parent[k]]
-                return k
-
-            for i in range(len(a)):
-                if kind[i] == 0 or (x := root(a[i])) == (y := root(b[i])):
-                    continue
-                one, two = full[a[i]], full[b[i]]
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                common_n = len(one) + len(two) - len(np.unique(np.concatenate((one, two))))
-                if 100 * common_n >= percent * (len(one) + len(two) - common_n):
-                    parent[max(x, y)] = min(x, y)
-                    links.append((a[i], b[i]))
+            sets = dict(zip(group.column("set_key").to_pylist(), group.column("full").to_pylist()))
+            if len(sets) < 2:
+                continue
+            keys, arrays = list(sets), [np.frombuffer(s, np.uint64) for s in sets.values()]
+            size, both = np.array([len(x) for x in arrays]), overlaps(arrays)
+            a, b = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1))
+            links = [(keys[part[0]], keys[k]) for part in linked_groups(len(keys), a.tolist(), b.tolist()) for k in part[1:]]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
-    return stream.repartition("leaf").sortWithinPartitions("leaf", "kind", "a", "b").mapInArrow(linked, "a binary, b binary").distinct()
+    return members.repartition("near").sortWithinPartitions("near", "set_key").mapInArrow(linked, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,8 +355,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = common.cut(sets_of(docs, id_col, text_col, words))
     full = made.where(F.col("set_key").isNotNull())
     reps = common.cut(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    pairs = common.cut(candidates(reps, percent / 100))
-    links = common.cut(confirmed(pairs, reps, docs, id_col, text_col, words, percent))
+    groups = common.cut(candidates(reps, percent / 100))
+    links = common.cut(confirmed(groups, reps, docs, id_col, text_col, words, percent))
     roots = reps.select("set_key", "rep").join(components(links), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     roots = common.cut(roots)
     ids = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
