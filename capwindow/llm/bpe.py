@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from capwindow.llm import common
 
-#: Distinct words whose encodings are shared; about 100 bytes each in every executor.
-TABLE_WORDS = 1 << 19
+#: Distinct words whose encodings are shared; about 100 bytes each in the driver and in every task.
+TABLE_WORDS = 1 << 18
 #: Longer words are not shared.
 LONGEST = 40
 _ID_BITS = 17
@@ -81,7 +81,7 @@ def let(value: Column, use) -> Column:
 
 def buckets_of(words: pa.Table) -> pa.Array:
     """One array of maps from words to ids, in which a word's place is its hash modulo the number of maps."""
-    n = 2 * len(words) + 1
+    n = len(words) + 1
     place = np.mod(words["h"].to_numpy(), n)
     order = np.argsort(place, kind="stable")
     starts = np.searchsorted(place[order], np.arange(n + 1)).astype(np.int32)
