@@ -6,7 +6,7 @@ pairs of ids to ids: flat arrays in which the pairs of a left token share one sh
 are the constants of one uncorrelated scalar subquery over a local relation, which keeps them out of the plans' texts.
 Every split of a token into two tokens is in the map, so the pairs' ranks are those of the joined bytes.
 
-Words repeat, so the encodings of the most frequent distinct words (at most TABLE_WORDS, whatever the corpus) are
+Words repeat, so the encodings of the most frequent distinct words (about TABLE_WORDS at most, whatever the corpus) are
 folded once and shared in the same way; every other word is folded where it stands, with the same result.
 Decoding maps ids to their binary pieces and joins these.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from capwindow.llm import common
 
 #: Distinct words whose encodings are shared; about 100 bytes each in the driver and in every task.
-TABLE_WORDS = 1 << 18
+TABLE_WORDS = 3 << 17
 #: Longer words are not shared.
 LONGEST = 40
 _ID_BITS = 17
@@ -158,9 +158,18 @@ class Coder:
         return F.when(F.octet_length(word) == 1, start).otherwise(folded).cast("array<int>")
 
     def learn(self, words: DataFrame, most: int = TABLE_WORDS) -> None:
-        """Share the encodings of the most frequent words; words has the column w, one row an occurrence."""
-        counted = words.where(F.length("w") <= LONGEST).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).select("w")
-        words = counted.repartition("w").select("w", F.xxhash64("w").alias("h"))
+        """Share the encodings of the most frequent words; words has the column w, one row a document's distinct word.
+        A histogram of counts gives the least count that is shared, and the part of words with the next lower one that still fits."""
+        level = F.floor(F.log2("count") * 16)
+        counted = common.cut(words.where(F.length("w") <= LONGEST).groupBy("w").count().where(F.col("count") > 1).withColumn("level", level))
+        least, part, room = 0, 0.0, most
+        for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # 16 rows for each doubling
+            if row["count"] > room:
+                least, part = row["level"] + 1, room / row["count"]
+                break
+            room -= row["count"]
+        some = (F.col("level") == least - 1) & (F.pmod(F.xxhash64(F.lit(1), "w"), F.lit(1 << 20)) < int(part * (1 << 20)))
+        words = counted.where((F.col("level") >= least) | some).repartition("w").select("w", F.xxhash64("w").alias("h"))
         # At most so many rows as the table has words.
         found = self.using(words, "ids", self.merges, lambda *merges: self.fold(*merges, F.col("w"))).toArrow()
         self.known = self.spark.createDataFrame(pa.table({"shifts": self.shifts, "entries": self.entries, "known": buckets_of(found)}))
@@ -187,7 +196,7 @@ class Coder:
 
 def encode_texts(df: DataFrame, coder: Coder, text_col: str = "text", out: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
     """df with the ids of its texts in column out, which replaces a column of that name."""
-    coder.learn(df.select(F.explode(coder.words(F.col(text_col))).alias("w")), most)
+    coder.learn(df.select(F.explode(F.array_distinct(coder.words(F.col(text_col)))).alias("w")), most)
     return coder.with_ids(df, text_col, out)
 
 
