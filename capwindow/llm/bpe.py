@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from capwindow.llm import common
 
 #: Distinct words whose encodings are shared; about 100 bytes each in the driver and in every task.
-TABLE_WORDS = 3 << 17
+TABLE_WORDS = 1 << 18
 #: Longer words are not shared.
 LONGEST = 40
 _ID_BITS = 17
@@ -158,7 +158,7 @@ class Coder:
         return F.when(F.octet_length(word) == 1, start).otherwise(folded).cast("array<int>")
 
     def learn(self, words: DataFrame, most: int = TABLE_WORDS) -> None:
-        """Share the encodings of the most frequent words; words has the column w, one row a document's distinct word.
+        """Share the encodings of the most frequent words; words has the column w, one row an occurrence.
         A histogram of counts gives the least count that is shared, and the part of words with the next lower one that still fits."""
         level = F.floor(F.log2("count") * 16)
         counted = common.cut(words.where(F.length("w") <= LONGEST).groupBy("w").count().where(F.col("count") > 1).withColumn("level", level))
@@ -196,7 +196,7 @@ class Coder:
 
 def encode_texts(df: DataFrame, coder: Coder, text_col: str = "text", out: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
     """df with the ids of its texts in column out, which replaces a column of that name."""
-    coder.learn(df.select(F.explode(F.array_distinct(coder.words(F.col(text_col)))).alias("w")), most)
+    coder.learn(df.select(F.explode(coder.words(F.col(text_col))).alias("w")), most)
     return coder.with_ids(df, text_col, out)
 
 
