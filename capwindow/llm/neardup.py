@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capwindow.llm import common
@@ -215,8 +215,8 @@ def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def sets_of(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, set_key, sketch) of each document; key and sketch are null for empty sets."""
+def sets_of(df: DataFrame, id_col: str, text_col: str, words: int, marks: dict[str, Column]) -> DataFrame:
+    """(id, marks, n_shingles, set_key, sketch) of each document; key and sketch are null for empty sets."""
     common.small_batches(df.sparkSession)
 
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -230,8 +230,8 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
             yield pa.array(rows, kind)
 
     made_udf = F.arrow_udf(made, "struct<n:bigint,key:binary,sketch:binary>")
-    read = df.select(F.col(id_col).alias("id"), made_udf(F.col(text_col)).alias("s"))
-    return read.select("id", F.col("s.n").alias("n_shingles"), F.col("s.key").alias("set_key"), F.col("s.sketch").alias("sketch"))
+    read = df.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in marks.items()), made_udf(F.col(text_col)).alias("s"))
+    return read.select("id", *marks, F.col("s.n").alias("n_shingles"), F.col("s.key").alias("set_key"), F.col("s.sketch").alias("sketch"))
 
 
 def branch(nodes: DataFrame, second: float, levels: int, roots: bool) -> DataFrame:
@@ -350,20 +350,39 @@ def components(links: DataFrame) -> DataFrame:
         before = (now["n"], now["h"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, set_key, component_id) of each document; component_id is the smallest id of its class."""
-    made = common.cut(sets_of(docs, id_col, text_col, words))
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, marks: dict[str, Column] | None = None
+) -> DataFrame:
+    """(id, marks, n_shingles, class_key, component_id) of each document; component_id is the smallest id of its class, class_key
+    tells classes apart and is null for empty sets. marks are columns that tell documents with the same id apart."""
+    marks = marks or {}
+    made = common.cut(sets_of(docs, id_col, text_col, words, marks))
     full = made.where(F.col("set_key").isNotNull())
     reps = common.cut(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
     groups = common.cut(candidates(reps, percent / 100))
     links = common.cut(confirmed(groups, reps, docs, id_col, text_col, words, percent))
-    roots = reps.select("set_key", "rep").join(components(links), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    roots = common.cut(roots)
-    ids = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = roots.join(ids, "root").select("set_key", "component_id")
-    # Empty sets join nothing: their null keys are dealt out by id.
-    spread = made.where(F.col("set_key").isNull()).select("id", "n_shingles", "set_key", F.col("id").alias("component_id"))
-    return full.select("id", "n_shingles", "set_key").join(classes, "set_key").select("id", "n_shingles", "set_key", "component_id").unionByName(spread)
+    roots = reps.select("set_key", "rep").join(components(links), "set_key", "left").withColumn("class_key", F.coalesce("root", "set_key"))
+    roots = common.cut(roots.drop("root"))
+    ids = roots.groupBy("class_key").agg(F.min("rep").alias("component_id"))
+    classes = roots.join(ids, "class_key").select("set_key", "class_key", "component_id")
+    out = ["id", *marks, "n_shingles", "class_key", "component_id"]
+    # Empty sets join nothing, so that their null keys don't meet in one task.
+    alone = made.where(F.col("set_key").isNull()).withColumns({"class_key": F.col("set_key"), "component_id": F.col("id")})
+    return full.join(classes, "set_key").select(*out).unionByName(alone.select(*out))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each class: the one with the smallest id, ties by its text's hash; of equal rows one
+    stays. Documents with an empty set all stay."""
+    marks = {"__fp": F.xxhash64(text_col), "__fp2": F.xxhash64(F.lit(7), text_col)}
+    found = near_duplicates(docs, id_col, text_col, words, percent, marks).where(F.col("class_key").isNotNull())
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("__id"), *marks)).alias("first")
+    chosen = found.groupBy("class_key").agg(first).select("first.__id", *(F.col(f"first.{m}").alias(f"{m}b") for m in marks))
+    has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.where(has_word).withColumns(marks)
+    same = (F.col("__fp") == F.col("__fpb")) & (F.col("__fp2") == F.col("__fp2b")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = marked.join(chosen, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__fp", "__fp2", id_col).orderBy(F.lit(1))))
+    return kept.where(F.col("__n") == 1).select(docs.columns).unionByName(docs.where(~has_word))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
