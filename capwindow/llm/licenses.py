@@ -83,31 +83,40 @@ def frequency_order(docs_words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def prefix_table(spark, sets: dict[str, list[str]], order: list[str], threshold: float) -> DataFrame:
-    """A row for each word of each template's prefix: label, word, its place, the template's size and need."""
+    """A row for each word of each template's prefix: label, word, its place, the template's size, need and words."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for label, words in sets.items():
         ordered = sorted(words, key=rank.__getitem__)
-        need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        rows += [F.struct(F.lit(label).alias("label"), F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(len(ordered)).alias("n"), F.lit(need).alias("need"), F.lit(ordered).alias("template")) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+        need = needed(len(ordered), threshold)
+        for i, w in enumerate(ordered[: len(ordered) - need + 1]):
+            values = {"label": label, "__w": w, "__i": i, "__n": len(ordered), "__need": need, "__template": ordered}
+            rows.append(F.struct(*(F.lit(v).alias(k) for k, v in values.items())))
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def needed(n: int, threshold: float) -> int:
+    """Words of a template of n words that a block must hold."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
 def join_blocks(blocks: DataFrame, sets: dict[str, list[str]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(block's columns, label, containment) of all pairs that meet the threshold. blocks has the array column words."""
-    spark = blocks.sparkSession
+    """(block's columns, label, containment) of all pairs that meet the threshold, once for each word that leads to the pair. blocks has the array column words;
+    columns of the names label and containment are replaced."""
+
     # One order for all words: the vocabulary's by frequency, then the others, which never match, by spelling.
     def rank(w: Column) -> Column:
         return F.coalesce(F.nullif(F.array_position(F.lit(order), w), F.lit(0)), F.lit(len(order) + 1))
 
     ranked = F.sort_array(F.transform(F.array_distinct("words"), lambda w: F.struct(rank(w).alias("r"), w.alias("w"))))
-    kept = [c for c in blocks.columns if c != "words"]
-    sets_of = blocks.withColumn("__ranked", ranked).withColumn("__set", F.transform("__ranked", lambda x: x["w"])).withColumn("__size", F.size("__set")).drop("words", "__ranked")
-    shared = sets_of.select(*kept, "__set", "__size", F.posexplode("__set").alias("__j", "w"))
-    pairs = shared.join(F.broadcast(prefix_table(spark, sets, order, threshold)), "w")
-    enough = (F.col("__size") >= F.col("need")) & (1 + F.least(F.col("n") - 1 - F.col("i"), F.col("__size") - 1 - F.col("__j")) >= F.col("need"))
-    overlap = F.size(F.array_intersect("__set", "template"))
-    return pairs.where(enough).where(overlap >= F.col("need")).select(*kept, "label", (overlap / F.col("n")).alias("containment"))
+    kept = [c for c in blocks.columns if c not in ("words", "label", "containment")]
+    ordered = blocks.withColumn("__ranked", ranked).withColumn("__set", F.transform("__ranked", lambda x: x["w"])).withColumn("__size", F.size("__set"))
+    shared = ordered.select(*kept, "__set", "__size", F.posexplode("__set").alias("__j", "__w"))
+    pairs = shared.join(F.broadcast(prefix_table(blocks.sparkSession, sets, order, threshold)), "__w")  # as large as the list of templates
+    left = 1 + F.least(F.col("__n") - 1 - F.col("__i"), F.col("__size") - 1 - F.col("__j"))
+    overlap = F.size(F.array_intersect("__set", "__template"))
+    met = pairs.where((F.col("__size") >= F.col("__need")) & (left >= F.col("__need"))).where(overlap >= F.col("__need"))
+    return met.select(*kept, "label", (overlap / F.col("__n")).alias("containment"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +125,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = frequency_order(docs.select(words_of(lowered(F.col("text"))).alias("words")), vocabulary)
     rank = {w: i for i, w in enumerate(order)}
-    heads = sorted({w for words in sets.values() for w in sorted(words, key=rank.__getitem__)[: len(words) - max(1, math.ceil(THRESHOLD * len(words) - 1e-9)) + 1]})
+    heads = sorted({w for words in sets.values() for w in sorted(words, key=rank.__getitem__)[: len(words) - needed(len(words), THRESHOLD) + 1]})
     read = docs.select("doc_id", lowered(F.col("text")).alias("text"), *fingerprint(F.col("text"))).withColumn("words", words_of(F.col("text")))
     read = read.withColumns({f"__{k}": places(F.col("words"), p) for k, p in PHRASES.items()})
     found = F.flatten(F.array(*(F.col(f"__{k}") for k in PHRASES)))

@@ -12,8 +12,9 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host passes."""
-    featured = quality.with_features(docs)
-    verdicts = quality.host_verdicts(featured.drop("text"))
+    # Written once: both uses read it, and no filter is pushed into the nested expressions of the counts.
+    featured = common.cut(quality.with_features(docs))
+    verdicts = quality.host_verdicts(featured)
     return quality.judge(featured, verdicts).where("kept").select(*DOCUMENT)
 
 

@@ -213,7 +213,7 @@ def test_pii_anchors_equal_patterns():
     for _ in range(5000):
         t = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
         assert [s for s in pii.find(t, anchors) if s[0] in pii.BASE_KINDS] == base_pii(t)
-    assert [s[0] for s in pii.find(TEXTS[14], anchors) if s[0] not in pii.BASE_KINDS] == ["url", "iban", "account"]
+    assert [s[0] for s in pii.find(TEXTS[14], anchors) if s[0] not in pii.BASE_KINDS] == ["url", "url", "iban", "account"]
 
 
 def der(tag, body):
@@ -519,4 +519,5 @@ def test_fields(spark, tokenizer):
 
 def test_cut_uses_the_shared_folder(spark):
     df = common.cut(spark.range(3))
-    assert df.count() == 3 and all(f.startswith(common.shared_folder(spark)) for f in df.inputFiles())
+    folder = common.shared_folder(spark).removeprefix("file://")
+    assert df.count() == 3 and all(folder in f for f in df.inputFiles())
