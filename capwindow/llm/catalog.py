@@ -21,4 +21,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """Positions of matches, stored media, hashes of sketches and merges are beyond SQL; tests compare these with brute force."""
+    return {"op7_licenses": licenses.oracle(), "op8_host_quality": quality.ORACLE}

@@ -32,10 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def cuts_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
+def discard_cuts(spark: SparkSession) -> None:
+    """Delete what cut() wrote in this application; its results are of no use after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages don't depend on earlier executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -83,9 +83,14 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Profiles of the languages of labelled rows. Collects at most RANKS n-grams a language."""
     spark = labelled.sparkSession
     common.small_batches(spark)
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = common.cut(rows.select(id_col, lang_col).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select(id_col, lang_col))
+    # A part of each language by a hash, about four samples large, so that the exact choice sorts few rows whatever the language's size.
+    counts = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__all"))
+    place = F.xxhash64(id_col)
+    part = F.pmod(place, F.lit(1 << 30)) / (1 << 30) * F.col("__all") < 4 * sample
+    few = rows.select(id_col, lang_col).join(counts, F.col(lang_col) == F.col("__lang")).where(part)
+    order = Window.partitionBy(lang_col).orderBy(F.pmod(place, F.lit(1 << 30)), id_col)
+    chosen = common.cut(few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select(id_col, lang_col))
     texts = rows.select(id_col, lang_col, text_col).join(F.broadcast(chosen), [id_col, lang_col], "left_semi")  # sample rows a language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

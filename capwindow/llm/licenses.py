@@ -162,3 +162,23 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
         F.coalesce("containment", F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("score"),
     )
+
+
+def oracle() -> str:
+    """The query in SQL: every line against every template, without filters."""
+    texts = ", ".join(f"('{label}', {sorted(words)!r})" for label, words in template_words(TEMPLATES).items())
+    phrases = ", ".join(f"('{label}', {phrase.split()!r})" for label, phrase in PHRASES.items())
+    return rf"""
+WITH templates(label, words) AS (VALUES {texts}), phrases(label, p) AS (VALUES {phrases}),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
+places AS (SELECT r, label, i - 1 AS place FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w), phrases WHERE words[i : i + len(p) - 1] = p),
+base AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY r),
+blocks AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+met AS (SELECT r, label, len(list_intersect(b, words)) / len(words) AS c FROM blocks, templates WHERE len(list_intersect(b, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY r)
+SELECT doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  coalesce(found.c, CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM w LEFT JOIN base ON w.r = base.r LEFT JOIN found ON w.r = found.r
+"""

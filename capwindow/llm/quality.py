@@ -92,4 +92,24 @@ def judge(featured: DataFrame, verdicts: DataFrame, host_col: str = "source") ->
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     featured = common.cut(with_features(docs).drop("text"))
-    return judge(featured, host_verdicts(featured)).select("doc_id", *FEATURES, "base_failed", "kept", "host_rate")
+    return judge(featured, host_verdicts(featured)).select("doc_id", *FEATURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM again, (VALUES (0), (1), (2)) s(d) GROUP BY r),
+counts AS (SELECT split.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered ON split.r = covered.r),
+judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words OR 100 * n_symbols > {MOST_SYMBOLS} * n_words OR 100 * n_dup_lines > {MOST_DUP_LINES} * n_words AS failed FROM counts),
+hosts AS (SELECT source, count(*) AS docs, count(*) FILTER (failed) AS bad FROM judged GROUP BY source),
+moments AS (SELECT least(greatest(avg(bad / docs), 1e-6), 1 - 1e-6) AS m, coalesce(var_samp(bad / docs), 0) AS v, avg(1 / docs) AS u FROM hosts),
+prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, 1e-6) - 1, 1.0), 1e4) AS k FROM moments),
+rated AS (SELECT source, (bad + m * k) / (docs + k) AS host_rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= {MOST_FAILED} AS kept, round(host_rate, 6) AS host_rate
+FROM judged j JOIN rated h ON j.source IS NOT DISTINCT FROM h.source
+"""
