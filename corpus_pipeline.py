@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from capwindow.llm import bpe, common, mixing, neardup, quality, secrets
 
+#: Words whose encodings the last stage shares; the driver holds earlier stages' plans as well.
+SHARED_WORDS = 1 << 17
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coder = bpe.Coder(spark, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.encode_texts(docs, coder), coder, ["doc_id"])
+    return bpe.digests(bpe.encode_texts(docs, coder, most=SHARED_WORDS), coder, ["doc_id"])
 
 
 STAGES = [("quality rules", keep_quality), ("near-duplicates", keep_one_of_each), ("secrets", mask_secrets), ("mixing", mix_sources), ("byte-level BPE", encode)]
