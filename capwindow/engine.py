@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +69,22 @@ class Database:
         changes.write.mode("append").parquet(self.path)
         return [answers[first + i] for i in range(len(queries))]
 
+    def watch(self, query: str, order: threading.Lock | None = None, timeout: float = 30.0, pause: float = 0.1) -> str:
+        """Wait for a value that differs from the one now, read again and again; changes between two readings that undo
+        each other aren't seen. order is held during a reading, so that others can change the counter."""
+        reading = "GET" + query.strip()[5:]
+
+        def read() -> str:
+            with order or contextlib.nullcontext():
+                return self.run([reading])[0]
+
+        first, until = read(), time.monotonic() + timeout
+        while first.startswith("ok|") and time.monotonic() < until:
+            if (now := read()) != first:
+                return now
+            time.sleep(pause)
+        return first if first.startswith("err|") else "err|timeout"
+
 
 def main(argv: list[str]) -> None:
     """A prompt over a log folder: python -m capwindow.engine FOLDER. q, quit or exit ends it."""

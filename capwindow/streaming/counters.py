@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from capwindow.schema import EXPIRY_GRACE, RESULTS
+from capwindow.schema import EXPIRY_GRACE, OPS, RESULTS
 
 STATE = "value bigint, t bigint"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,6 +72,12 @@ def fold_stream(ops: DataFrame, collect: bool = False, watermark: str = "0 secon
     return keyed.transformWithStateInPandas(CounterProcessor(collect), outputStructType=RESULTS, outputMode="Append", timeMode="EventTime" if collect else "None")
 
 
+def follow_log(spark: SparkSession, path: str, applied: int) -> DataFrame:
+    """A replica's stream of the operations after the high-water mark from a log folder that grows. The checkpoint remembers
+    which files were read; a segment that is written again under another name repeats numbers, which the replica's sink drops by pending()."""
+    return spark.readStream.schema(OPS).option("recursiveFileLookup", "true").parquet(path).where(F.col("lsn") > applied)
+
+
 def window_stream(ops: DataFrame, bs: int, watermark: str) -> DataFrame:
     """Counts by event time of one window length; a single watermark suits a single length."""
     timed = ops.where(F.col("op") == "INCR").withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", watermark)

@@ -1,5 +1,7 @@
 """Golden cases of parsing, validation and codecs; the log's binary form; the database front end; settings."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from capwindow.engine import Database
 from capwindow.functions import commands
 from capwindow.operators import replication, snapshot
 from capwindow.sources import tables, wal
+from capwindow.sources.server import CommandClient, CommandServer
 from capwindow.streaming import counters as streaming
 
 
@@ -106,3 +109,33 @@ def test_stream_in_two_runs(spark, tmp_path):
         stream = streaming.fold_stream(spark.readStream.schema(schema).parquet(source), collect=True)
         streaming.drain(stream, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
     assert {r.lsn: r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 1}
+
+
+def test_server(spark, tmp_path):
+    config = Config(network=Network(address="127.0.0.1:0", max_connections=2, max_message_size="100B"))
+    with CommandServer(Database(spark, str(tmp_path / "db"), config)) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        address = f"127.0.0.1:{server.server_address[1]}"
+        one, two = CommandClient(address, 60), CommandClient(address, 60)
+        assert one.send("INCR a 4294967295") == ("ok", "1")
+        assert one.send("x" * 101) == ("err", "message size 101 exceeds maximum 100")
+        seen = []
+        watcher = threading.Thread(target=lambda: seen.append(two.send("WATCH a 4294967295")))
+        watcher.start()
+        for want in range(2, 30):
+            if not watcher.is_alive():
+                break
+            assert one.send("INCR a 4294967295") == ("ok", str(want))
+        watcher.join(60)
+        assert seen and seen[0][0] == "ok" and int(seen[0][1]) >= 2
+        one.close(), two.close()
+        server.shutdown()
+
+
+def test_followed_log(spark, tmp_path):
+    ops = spark.createDataFrame([(i, 0, "INCR", "k", 60, i) for i in range(1, 8)], "lsn bigint, pos int, op string, key string, bs bigint, t bigint")
+    path = str(tmp_path / "log")
+    for part in ("lsn <= 4", "lsn > 4"):
+        tables.append_log(snapshot.segments(ops.where(part), 3), path)
+        streaming.drain(streaming.follow_log(spark, path, 2), str(tmp_path / "checkpoint"), str(tmp_path / "out"))
+    assert sorted(r.lsn for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [3, 4, 5, 6, 7]
