@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field, fields
 
@@ -79,3 +80,14 @@ def config_from(values: dict) -> Config:
         if isinstance(made.get(name), dict):
             made[name] = kind(**made[name])
     return Config(**made)
+
+
+def load(path: str) -> Config:
+    """A configuration from a JSON file, or from a YAML file where a YAML reader is installed."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        return config_from(yaml.safe_load(text) or {})
+    return config_from(json.loads(text))

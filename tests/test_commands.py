@@ -5,10 +5,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from capwindow.config import Config, Network, config_from, parse_duration, parse_size
+from capwindow.config import Config, Network, config_from, load, parse_duration, parse_size
 from capwindow.engine import Database
 from capwindow.functions import commands
-from capwindow.operators import replication, snapshot
+from capwindow.operators import counters, replication, snapshot
 from capwindow.sources import tables, wal
 from capwindow.sources.server import CommandClient, CommandServer
 from capwindow.streaming import counters as streaming
@@ -58,6 +58,14 @@ def test_settings():
             config_from(wrong)
 
 
+def test_settings_from_files(tmp_path):
+    (tmp_path / "a.json").write_text('{"clean_interval": "10m", "log": {"batch_length": 4096}}')
+    assert load(str(tmp_path / "a.json")).log.batch_length == 4096
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "a.yml").write_text(yaml.safe_dump({"sync_commit": False}))
+    assert load(str(tmp_path / "a.yml")).sync_commit is False
+
+
 def test_binary_log_round_trip(spark, tmp_path):
     records = [(i, 1 + i % 3, ["key", str(60 * i), "5f"]) for i in range(1, 300)] + [(2**40, 5, ["5f", "a", "60", "b", "x"])]
     data = b"".join(wal.encode_frame(records[i : i + 7]) for i in range(0, len(records), 7))
@@ -139,3 +147,19 @@ def test_followed_log(spark, tmp_path):
         tables.append_log(snapshot.segments(ops.where(part), 3), path)
         streaming.drain(streaming.follow_log(spark, path, 2), str(tmp_path / "checkpoint"), str(tmp_path / "out"))
     assert sorted(r.lsn for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_upserts_and_window_counts(spark, tmp_path):
+    schema = "lsn bigint, pos int, op string, key string, bs bigint, t bigint"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(i, 0, "INCR", f"k{i % 3}", 60, 20 * i) for i in range(1, 40)], schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    folded = streaming.fold_stream(stream).writeStream.foreachBatch(streaming.upsert_sink(str(tmp_path / "states"))).option("checkpointLocation", str(tmp_path / "c1"))
+    folded.trigger(availableNow=True).start().awaitTermination()
+    newest = {r.key: (r.lsn, r.result) for r in streaming.newest(spark.read.parquet(str(tmp_path / "states"))).collect()}
+    ops = spark.read.schema(schema).parquet(source)
+    assert newest == {r.key: (r.lsn, r.value) for r in counters.state_of(counters.fold(ops)).collect()}
+    streaming.drain(streaming.window_stream(stream, 60, "0 seconds"), str(tmp_path / "c2"), str(tmp_path / "counts"))
+    got = {(r.key, r.window_start): r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+    want = {(r.key, r.window_start): r.n for r in counters.window_counts(ops).collect()}
+    assert got and got.items() <= want.items() and max(w for _, w in want) - max(w for _, w in got) <= 60
