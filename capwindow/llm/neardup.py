@@ -315,7 +315,8 @@ def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "full"])
 
     texts = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text"))
-    read = texts.join(needed, F.col("__id2").eqNullSafe(F.col("__id"))).select("set_key", "__text")
+    # The side of ids is hashed, so that texts pass by and are not sorted.
+    read = texts.join(needed.hint("shuffle_hash"), F.col("__id2").eqNullSafe(F.col("__id"))).select("set_key", "__text")
     members = groups.join(read.mapInArrow(full, "set_key binary, full binary"), "set_key").select("near", "set_key", "full")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,9 +381,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = found.groupBy("class_key").agg(first).select("first.__id", *(F.col(f"first.{m}").alias(f"{m}b") for m in marks))
     has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = docs.where(has_word).withColumns(marks)
-    same = (F.col("__fp") == F.col("__fpb")) & (F.col("__fp2") == F.col("__fp2b")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = marked.join(chosen, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__fp", "__fp2", id_col).orderBy(F.lit(1))))
-    return kept.where(F.col("__n") == 1).select(docs.columns).unionByName(docs.where(~has_word))
+
+    def same(other: DataFrame) -> Column:
+        return (F.col("__fp") == other["__fpb"]) & (F.col("__fp2") == other["__fp2b"]) & F.col(id_col).eqNullSafe(other["__id"])
+
+    # Rows that repeat in id and text are few; only these are put in order to keep one. All others pass by a hashed side of ids.
+    repeated = found.groupBy("id", *marks).count().where(F.col("count") > 1).select(F.col("id").alias("__rid"), *(F.col(m).alias(f"{m}r") for m in marks))
+    twice = (F.col("__fpb") == F.col("__fpr")) & (F.col("__fp2b") == F.col("__fp2r")) & F.col("__id").eqNullSafe(F.col("__rid"))
+    once, more = common.cut(chosen.join(repeated, twice, "left_anti")), common.cut(chosen.join(repeated, twice, "left_semi"))
+    several = marked.join(more, same(more), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__fp", "__fp2", id_col).orderBy(F.lit(1))))
+    kept = marked.join(once.hint("shuffle_hash"), same(once), "left_semi").select(docs.columns)
+    return kept.unionByName(several.where(F.col("__n") == 1).select(docs.columns)).unionByName(docs.where(~has_word))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
