@@ -88,7 +88,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__all"))
     place = F.xxhash64(id_col)
     part = F.pmod(place, F.lit(1 << 30)) / (1 << 30) * F.col("__all") < 4 * sample
-    few = rows.select(id_col, lang_col).join(counts, F.col(lang_col) == F.col("__lang")).where(part)
+    # One row a language goes to all tasks, so that the others are left out before anything is shuffled.
+    few = rows.select(id_col, lang_col).join(F.broadcast(counts), F.col(lang_col) == F.col("__lang")).where(part)
     order = Window.partitionBy(lang_col).orderBy(F.pmod(place, F.lit(1 << 30)), id_col)
     chosen = common.cut(few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select(id_col, lang_col))
     texts = rows.select(id_col, lang_col, text_col).join(F.broadcast(chosen), [id_col, lang_col], "left_semi")  # sample rows a language
