@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -32,20 +34,34 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cuts_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/cuts-{spark.sparkContext.applicationId}"
+#: The part of the shared folder that cut() writes to just now.
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="cuts")
 
 
-def discard_cuts(spark: SparkSession) -> None:
-    """Delete what cut() wrote in this application; its results are of no use after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
+@contextlib.contextmanager
+def cuts_in(scope: str):
+    """Let cut() write to a part of the shared folder that can be deleted by its name."""
+    token = _scope.set(scope)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def cuts_folder(spark: SparkSession, scope: str) -> str:
+    return f"{shared_folder(spark)}/{scope}-{spark.sparkContext.applicationId}"
+
+
+def discard_cuts(spark: SparkSession, scope: str = "cuts") -> None:
+    """Delete what cut() wrote to this part in this application; its results are of no use after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark, scope))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages don't depend on earlier executors."""
     spark = df.sparkSession
-    path = f"{cuts_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{cuts_folder(spark, _scope.get())}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

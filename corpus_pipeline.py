@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,23 @@ from capwindow.llm import bpe, common, mixing, neardup, quality, secrets
 
 #: Words whose encodings the last stage shares; the driver holds earlier stages' plans as well.
 SHARED_WORDS = 1 << 17
+SCOPE = "pipeline"
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(f):
+    """A stage keeps its own intermediate tables until the next one begins; by then its output is written."""
+
+    @functools.wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.discard_cuts(spark, SCOPE)
+        with common.cuts_in(SCOPE):
+            return f(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host passes."""
     # Written once: both uses read it, and no filter is pushed into the nested expressions of the counts.
@@ -20,11 +36,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.judge(featured, verdicts).where("kept").select(*DOCUMENT)
 
 
+@stage
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: five-word shingles, similarity 0.8 or more."""
     return neardup.deduplicate(docs).select(*DOCUMENT)
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts; n_chars follows a text that changed."""
     masked = secrets.mask_secrets(docs.withColumn("__raw", F.col("text")))
@@ -32,6 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(*DOCUMENT)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for each pass that takes them. Documents are taken whole."""
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
@@ -40,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("__at", F.explode("positions")).orderBy("__at", "doc_id").select(*DOCUMENT)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document: their number, and digests of the ids and of what these decode to."""
     import public_tokenizers
@@ -57,8 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages' result for documents. Each stage's output is written to the shared folder and read back."""
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+    for _, apply in STAGES[:-1]:
+        docs = common.cut(apply(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
