@@ -16,6 +16,11 @@ ARITY = {"INCR": 2, "GET": 2, "DEL": 2, "WATCH": 2, "MSGSIZE": 0}
 UINT64_MAX = "18446744073709551615"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value bound to a variable, so that an expression that uses it often stays small in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(query: Column) -> Column:
     """The words of a query; null where a symbol is illegal."""
     return F.when(query.rlike(LEGAL), F.filter(F.split(query, TOKEN_SPACE), lambda x: x != ""))
@@ -23,11 +28,15 @@ def tokens(query: Column) -> Column:
 
 def command_id(name: Column) -> Column:
     """The command's number, 0 if unknown."""
-    out = F.lit(schema.COMMANDS["UNKNOWN"])
-    for known, number in schema.COMMANDS.items():
-        if number:
-            out = F.when(F.upper(name) == known, F.lit(number)).otherwise(out)
-    return out
+
+    def number(upper: Column) -> Column:
+        out = F.lit(schema.COMMANDS["UNKNOWN"])
+        for known, code in schema.COMMANDS.items():
+            if code:
+                out = F.when(upper == known, F.lit(code)).otherwise(out)
+        return out
+
+    return let(F.upper(name), number)
 
 
 def arity_error(number: Column, n_args: Column) -> Column:
@@ -47,32 +56,39 @@ def batch_size(text: Column) -> Column:
 
 def key_error(key: Column, bs_text: Column) -> Column:
     """The first error of a key and its window length; null if both are right."""
-    bs = batch_size(bs_text)
-    message = F.concat(F.lit("invalid batch size: "), bs.cast("string"), F.lit(f" (must be between {schema.BATCH_MIN} and {schema.BATCH_MAX})"))
-    return (
-        F.when(F.octet_length(key) == 0, KEY_EMPTY)
-        .when(F.octet_length(key) > schema.KEY_MAX_BYTES, KEY_LONG)
-        .when(bs.isNull(), NOT_NUMBER)
-        .when((bs < schema.BATCH_MIN) | (bs > schema.BATCH_MAX), message)
-    )
+
+    def first(bs: Column) -> Column:
+        message = F.concat(F.lit("invalid batch size: "), bs.cast("string"), F.lit(f" (must be between {schema.BATCH_MIN} and {schema.BATCH_MAX})"))
+        return (
+            F.when(F.octet_length(key) == 0, KEY_EMPTY)
+            .when(F.octet_length(key) > schema.KEY_MAX_BYTES, KEY_LONG)
+            .when(bs.isNull(), NOT_NUMBER)
+            .when((bs < schema.BATCH_MIN) | (bs > schema.BATCH_MAX), message)
+        )
+
+    return let(batch_size(bs_text), first)
 
 
 def parse(df: DataFrame, query_col: str = "query", max_message: int = schema.MAX_MESSAGE) -> DataFrame:
     """df with command_id, arguments and error. Size is checked first, then symbols, the command, its arity and its keys."""
     query = F.col(query_col)
     too_long = F.concat(F.lit("message size "), F.octet_length(query), F.lit(f" exceeds maximum {max_message}"))
-    out = df.withColumn("__tokens", tokens(query)).withColumn("command_id", F.coalesce(command_id(F.get("__tokens", F.lit(0))), F.lit(0)))
-    args = F.when(F.size("__tokens") > 0, F.slice("__tokens", F.lit(2), F.greatest(F.size("__tokens") - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("arguments", args)
-    keyed = F.col("command_id").isin(*(schema.COMMANDS[c] for c in ("INCR", "GET", "DEL", "WATCH", "MDEL")))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("arguments") / 2).cast("int") - 1), lambda i: key_error(F.get("arguments", (2 * i).cast("int")), F.get("arguments", (2 * i + 1).cast("int"))))
-    pair_error = F.when(keyed & (F.size("arguments") >= 2), F.get(F.filter(pairs, lambda e: e.isNotNull()), F.lit(0)))
-    error = (
-        F.when(F.octet_length(query) > max_message, too_long)
-        .when(F.col("__tokens").isNull(), INVALID_SYMBOL)
-        .otherwise(F.coalesce(arity_error(F.col("command_id"), F.size("arguments")), pair_error))
-    )
-    return out.withColumn("error", error).drop("__tokens")
+
+    def shape(words: Column) -> Column:
+        args = F.when(F.size(words) > 0, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        number = F.coalesce(command_id(F.get(words, F.lit(0))), F.lit(0))
+        return F.struct(number.alias("command_id"), args.alias("arguments"), words.isNull().alias("illegal"))
+
+    def judged(p: Column) -> Column:
+        number, args = p["command_id"], p["arguments"]
+        errors = F.transform(F.sequence(F.lit(0), (F.size(args) / 2).cast("int") - 1), lambda i: key_error(F.get(args, 2 * i), F.get(args, 2 * i + 1)))
+        keyed = (number != schema.COMMANDS["MSGSIZE"]) & (F.size(args) >= 2)
+        pair = F.when(keyed, F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)))
+        error = F.when(F.octet_length(query) > max_message, too_long).when(p["illegal"], INVALID_SYMBOL).otherwise(F.coalesce(arity_error(number, F.size(args)), pair))
+        return F.struct(number.alias("command_id"), args.alias("arguments"), error.alias("error"))
+
+    parsed = let(let(tokens(query), shape), judged)
+    return df.withColumn("__parsed", parsed).select("*", "__parsed.*").drop("__parsed")
 
 
 def respond(result: Column, error: Column) -> Column:
