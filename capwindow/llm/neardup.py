@@ -8,7 +8,9 @@ later ones of nodes too large for a task, branch in Spark; a node that fits in a
 the target recall. Every pair that the sketches don't rule out is confirmed on the full sets; groups of such sets, not pairs, pass between the steps.
 Classes are the connected components of the confirmed links, found by alternating stars over distributed edges.
 
-At the deepest level a node that is still large holds sets that are nearly all alike. It is cut into groups that share pivots.
+At the deepest level a node that is still large holds sets that are nearly all alike. Groups that share pivots connect most of what is
+linked there at little cost. What they leave apart is compared exhaustively on the full sets, part by part: overlapping nodes of all trees
+make one cluster, and every two parts of a cluster meet, unless both lie in one component already.
 
 A null text, or one without words, has an empty set: it is alone in its class. A null id is no class's id while there is another; equal rows get equal results.
 An empty table gives an empty result. Only the id and text columns are read; ids need not be unique.
@@ -31,6 +33,8 @@ from capwindow.llm import common
 WIDTH, TREES, FIRST_LEVELS = 128, 12, 2
 #: Nodes up to LEAF sets are compared exhaustively; nodes up to NODE sets are handled in one task.
 LEAF, NODE, DEEPEST, PIVOTS = 128, 2048, 18, 16
+#: Shingles of a cluster's part, about; a part has about NODE / 2 sets at most.
+PART_SHINGLES = 1 << 21
 #: Pairs whose sketches agree this many standard deviations below the wanted similarity are still confirmed.
 DEVIATIONS = 4.5
 
@@ -175,8 +179,40 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def pivot_groups(members: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of members, each together with the first members."""
+    step = LEAF - PIVOTS
+    for at in range(PIVOTS, len(members), step):
+        yield np.concatenate((members[:PIVOTS], members[at : at + step]))
+
+
+def connecting(sets: list[np.ndarray], roots: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what the links among all pairs of sets connect, besides what has the same root. Two blocks of sets meet at a time."""
+    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    part = np.array([names[r] for r in roots])  # the component of each set so far
+    order = np.argsort(part, kind="stable")
+    size = np.array([len(s) for s in sets])
+    step = LEAF if len(sets) <= LEAF else max(1, LEAF // 2)
+    blocks = [order[at : at + step] for at in range(0, len(order), step)]
+    out = []
+    for i, one in enumerate(blocks):
+        for two in blocks[i + 1 :] if i or len(blocks) > 1 else [one[:0]]:
+            here = np.concatenate((one, two))
+            if (part[here] == part[here[0]]).all():
+                continue
+            both, sizes = overlaps([sets[k] for k in here]), size[here]
+            a, b = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None] - both), 1))
+            for group in linked_groups(len(here), a.tolist(), b.tolist()):
+                for k in group[1:]:
+                    x, y = int(here[group[0]]), int(here[k])
+                    if part[x] != part[y]:
+                        out.append((x, y))
+                        part[part == part[y]] = part[x]
+    return out
+
+
 def leaves(path: int, sketches: np.ndarray, second: float, level: int) -> Iterator[np.ndarray]:
-    """The members of the small nodes under one node."""
+    """The members of the small nodes under one node, and of those that stay large at the deepest level."""
     todo = [(path, np.arange(len(sketches)), level)]
     while todo:
         path, members, level = todo.pop()
@@ -185,9 +221,7 @@ def leaves(path: int, sketches: np.ndarray, second: float, level: int) -> Iterat
             continue
         here = np.full(len(members), path, np.uint64)
         if level >= DEEPEST:
-            step = LEAF - PIVOTS
-            for at in range(PIVOTS, len(members), step):
-                yield np.concatenate((members[:PIVOTS], members[at : at + step]))
+            yield members
             continue
         rows, paths = children(here, sketches[members], second)
         order = np.argsort(paths, kind="stable")
@@ -256,12 +290,13 @@ def branch(nodes: DataFrame, second: float, levels: int, roots: bool) -> DataFra
 
 
 def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """(near, set_key): groups of at most LEAF sets, such that each pair that reaches the similarity is in some group with the target
-    recall. A group stands for its pairs, so its rows grow with its members."""
+    """(near, set_key, dense): groups such that each pair that reaches the similarity is in some group with the target recall. A group
+    stands for its pairs, so its rows grow with its members. Those that are not dense have at most LEAF sets; dense ones are the nodes that
+    stay large at the deepest level, whose pairs of pivots and others are in groups that are not dense, too."""
     second = 1 / similarity - 1
     agree = math.floor(WIDTH * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / WIDTH)))
     rows = common.cut(branch(reps.select("set_key", "sketch"), second, FIRST_LEVELS, True))
-    level, ready = FIRST_LEVELS, None
+    level, ready, dense = FIRST_LEVELS, None, None
     while True:
         sizes = rows.groupBy("node").count().where(F.col("count") > 1)
         sizes = common.cut(sizes)
@@ -271,7 +306,8 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
         if large.isEmpty():
             break
         over = rows.join(large, "node")
-        if level >= DEEPEST:  # nearly all alike: groups of a task's size
+        if level >= DEEPEST:  # nearly all alike: groups of a task's size, which connect most
+            dense = over.select(F.col("node").alias("near"), "set_key", F.lit(True).alias("dense"))
             part = F.pmod(F.xxhash64("set_key"), F.floor(F.col("count") / (NODE // 2)) + 1)
             ready = ready.unionByName(over.select(F.xxhash64("node", part).alias("node"), "set_key", F.lit(level).alias("level")))
             pivots = over.groupBy("node").agg(F.min("set_key").alias("set_key"), F.max("count").alias("count"))
@@ -281,6 +317,12 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
         rows = common.cut(branch(over.select("node", "set_key").join(reps.select("set_key", "sketch"), "set_key"), second, 1, False))
         level += 1
 
+    def named(found: list[bytes], is_dense: bool) -> pa.RecordBatch:
+        """Trees that find the same group name it alike."""
+        name = int.from_bytes(hashlib.blake2b(b"".join(found), digest_size=8).digest(), "big", signed=True)
+        columns = [pa.array([name] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array([is_dense] * len(found))]
+        return pa.RecordBatch.from_arrays(columns, names=["near", "set_key", "dense"])
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_node(batches):
             if group.num_rows < 2:
@@ -288,19 +330,47 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
             keys, sketches = group.column("set_key").to_pylist(), sketches_of(group.column("sketch"))
             path, level = int(group.column("node")[0].as_py()) & 0xFFFFFFFFFFFFFFFF, group.column("level")[0].as_py()
             for members in leaves(path, sketches, second, level):
-                for near in similar_groups(members, sketches, agree):
-                    found = sorted({keys[i] for i in near})
-                    # Trees that find the same group name it alike.
-                    name = int.from_bytes(hashlib.blake2b(b"".join(found), digest_size=8).digest(), "big", signed=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["near", "set_key"])
+                large = len(members) > LEAF
+                if large:
+                    yield named(sorted({keys[i] for i in members}), True)
+                for some in pivot_groups(members) if large else (members,):
+                    for near in similar_groups(some, sketches, agree):
+                        yield named(sorted({keys[i] for i in near}), False)
 
     placed = ready.join(reps.select("set_key", "sketch"), "set_key").select("node", "level", "set_key", "sketch")
     ordered = placed.repartition("node").sortWithinPartitions("node", "set_key")
-    return ordered.mapInArrow(compared, "near bigint, set_key binary").distinct()
+    found = ordered.mapInArrow(compared, "near bigint, set_key binary, dense boolean")
+    return (found if dense is None else found.unionByName(dense)).distinct()
+
+
+def dense_parts(dense: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
+    """(near, set_key, root): groups of two parts each, such that all pairs of a dense group that are not connected already meet.
+    known has the (set_key, root) of connected sets."""
+    first = dense.groupBy("near").agg(F.min("set_key").alias("b"))
+    stars = dense.join(first, "near").select(F.col("set_key").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
+    joined = components(stars).select("set_key", F.col("root").alias("cluster"))
+    clusters = joined.unionByName(joined.select(F.col("cluster").alias("set_key"), "cluster").distinct())
+    placed = clusters.join(known, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).join(reps.select("set_key", "n_shingles"), "set_key")
+    several = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+    placed = common.cut(placed.join(several.select("cluster"), "cluster", "left_semi"))
+    # A component that fills more than a part has parts of its own, which needn't meet each other.
+    fill = F.greatest(F.count("*") / max(1, NODE // 2), F.sum("n_shingles") / PART_SHINGLES)
+    large = placed.groupBy("cluster", "root").agg(fill.alias("fill")).where(F.col("fill") > 1).select("cluster", "root", F.col("root").alias("own"))
+    owned = placed.join(large, ["cluster", "root"], "left")
+    fills = owned.groupBy("cluster", "own").agg(fill.alias("fill")).select(F.col("cluster").alias("c"), F.col("own").alias("o"), F.ceil("fill").alias("parts"))
+    dealt = owned.join(fills, (F.col("cluster") == F.col("c")) & F.col("own").eqNullSafe(F.col("o")))
+    dealt = common.cut(dealt.select("cluster", "own", "root", "set_key", F.pmod(F.xxhash64("set_key"), "parts").alias("part")))
+    parts = dealt.select("cluster", "own", F.struct("own", "part").alias("p")).distinct()
+    other = parts.select("cluster", F.col("own").alias("own2"), F.col("p").alias("q"))
+    # Null is not a component: parts of small ones meet each other and, if alone, themselves.
+    met = parts.join(other, "cluster").where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)))
+    met = met.select("cluster", F.explode(F.array_distinct(F.array("p", "q"))).alias("p"), F.xxhash64("cluster", "p.own", "p.part", "q.own", "q.part").alias("near"))
+    return dealt.select("cluster", "root", "set_key", F.struct("own", "part").alias("p")).join(met, ["cluster", "p"]).select("near", "set_key", "root")
 
 
 def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(a, b): pairs that connect what the links of each group connect; links are pairs whose full sets reach the similarity."""
+    """(a, b): pairs that connect what the links of each group connect; links are pairs whose full sets reach the similarity. If groups
+    have the column root, sets with the same root are connected already."""
     needed = reps.join(groups.select("set_key").distinct(), "set_key", "left_semi").select("set_key", F.col("rep").alias("__id"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +387,8 @@ def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
     texts = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text"))
     # The side of ids is hashed, so that texts pass by and are not sorted.
     read = texts.join(needed.hint("shuffle_hash"), F.col("__id2").eqNullSafe(F.col("__id"))).select("set_key", "__text")
-    members = groups.join(read.mapInArrow(full, "set_key binary, full binary"), "set_key").select("near", "set_key", "full")
+    root = F.col("root") if "root" in groups.columns else F.col("set_key")
+    members = groups.join(read.mapInArrow(full, "set_key binary, full binary"), "set_key").select("near", "set_key", "full", root.alias("root"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_node(batches):
@@ -325,9 +396,8 @@ def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
             if len(sets) < 2:
                 continue
             keys, arrays = list(sets), [np.frombuffer(s, np.uint64) for s in sets.values()]
-            size, both = np.array([len(x) for x in arrays]), overlaps(arrays)
-            a, b = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1))
-            links = [(keys[part[0]], keys[k]) for part in linked_groups(len(keys), a.tolist(), b.tolist()) for k in part[1:]]
+            at = dict(zip(group.column("set_key").to_pylist(), group.column("root").to_pylist()))
+            links = [(keys[x], keys[y]) for x, y in connecting(arrays, [at[k] for k in keys], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
     return members.repartition("near").sortWithinPartitions("near", "set_key").mapInArrow(linked, "a binary, b binary").distinct()
@@ -359,9 +429,14 @@ def near_duplicates(
     marks = marks or {}
     made = common.cut(sets_of(docs, id_col, text_col, words, marks))
     full = made.where(F.col("set_key").isNotNull())
-    reps = common.cut(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
+    reps = common.cut(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")))
     groups = common.cut(candidates(reps, percent / 100))
-    links = common.cut(confirmed(groups, reps, docs, id_col, text_col, words, percent))
+    links = common.cut(confirmed(groups.where(~F.col("dense")).select("near", "set_key"), reps, docs, id_col, text_col, words, percent))
+    dense = groups.where("dense").select("near", "set_key")
+    if not dense.isEmpty():
+        rest = common.cut(dense_parts(dense, reps, components(links)))
+        if not rest.isEmpty():
+            links = links.unionByName(common.cut(confirmed(rest, reps, docs, id_col, text_col, words, percent)))
     roots = reps.select("set_key", "rep").join(components(links), "set_key", "left").withColumn("class_key", F.coalesce("root", "set_key"))
     roots = common.cut(roots.drop("root"))
     ids = roots.groupBy("class_key").agg(F.min("rep").alias("component_id"))

@@ -347,6 +347,40 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, node, leaf, deepest
     same([(r.id, r.n_shingles, r.component_id) for r in got.collect()], classes(docs, 3, 85))
 
 
+def below_with_pairs(words, n, size, own, shared, seed=11):
+    """n documents of one template, each with own words at its end, and at the end pairs that share some of these."""
+    rng, template = random.Random(seed), [f"t{k}" for k in range(size)]
+    docs = []
+    for i in range(n):
+        docs.append(template + [f"o{i}x{k}" for k in range(own)])
+    for i in range(n, n + 12, 2):
+        both = [f"p{i}x{k}" for k in range(shared)]
+        docs += [template + both + [f"o{j}x{k}" for k in range(own - shared)] for j in (i, i + 1)]
+    rng.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("node, part", [(64, 1 << 21), (2048, 1 << 21), (64, 1000)])
+def test_near_duplicates_just_below(spark, monkeypatch, node, part):
+    """A large group just below the similarity, in which few pairs reach it."""
+    for name, value in (("NODE", node), ("LEAF", 16), ("PIVOTS", 4), ("DEEPEST", 3), ("PART_SHINGLES", part)):
+        monkeypatch.setattr(neardup, name, value)
+    docs = below_with_pairs(3, 180, 100, 9, 2) + [(1000 + i, long_text(100 + i, 80)) for i in range(30)]
+    want = classes(docs, 3, 85)
+    assert sum(c != d for d, _, c in want) == 6
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), words=3, percent=85)
+    same([(r.id, r.n_shingles, r.component_id) for r in got.collect()], want)
+
+
+def test_blocks_connect_all():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(300)]
+    alike = [(i, j) for i in range(300) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 57 * len(np.union1d(sets[i], sets[j]))]
+    want = sorted(map(sorted, neardup.linked_groups(300, *zip(*alike))))
+    got = neardup.connecting(sets, [bytes([i % 256, i // 256]) for i in range(300)], 57)
+    assert len(want) > 1 and sorted(map(sorted, neardup.linked_groups(300, *zip(*got)))) == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
