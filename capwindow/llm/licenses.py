@@ -1,10 +1,12 @@
 """License text by an exact set-similarity join, in DataFrame operations only.
 
-Blocks are lines. A block meets a template if it holds at least the threshold's share of the template's distinct words.
+Blocks are lines, and the stretches of a text's words as long as a template (repeats counted), whatever line breaks are inside, as
+licenses are published in wrapped lines. A block meets a template if it holds at least the threshold's share of the template's distinct words.
 Words are ordered by their frequency over all documents, rarest first. With a need of k of a template's n words, a block
 must share one of the template's first n - k + 1 (prefix filter), have k distinct words or more (length filter), and from
 its first shared word on both must have enough words left (positional filter); what passes is verified on the full sets. No
-filter loses a block. Templates are a fixed list, so their tables are as small as that list, whatever the corpus.
+filter loses a block. For stretches, the words around a prefix word must hold enough of the template; then every stretch with that word
+is verified. Templates are a fixed list, so their tables are as small as that list, whatever the corpus.
 
 Null and empty texts have no words, places or labels. Labels are joined to documents by a fingerprint of the text, so equal texts
 are verified once and get equal results, whatever their ids. Other columns of the input don't matter.
@@ -100,6 +102,28 @@ def needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
+def join_stretches(texts: DataFrame, sets: dict[str, list[str]], lengths: dict[str, int], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(text's columns, label, containment) of texts and templates such that a stretch of the text's words, as long as the template,
+    meets the threshold, once for each place of a prefix word. texts has the array column words; lengths are the templates' in words."""
+    kept = [c for c in texts.columns if c not in ("words", "label", "containment")]
+    table = prefix_table(texts.sparkSession, sets, order, threshold)
+    length = F.create_map(*(F.lit(x) for item in lengths.items() for x in item))
+    table = table.select("__w", "__n", "__need", "__template", "label", length[F.col("label")].alias("__long"))
+    heads = [r["__w"] for r in table.select("__w").distinct().collect()]  # at most the vocabulary of the templates
+    places = texts.select(*kept, F.col("words").alias("__words"), F.posexplode("words").alias("__p", "__w")).where(F.col("__w").isin(heads))
+    pairs = places.join(F.broadcast(table), "__w")  # as large as the list of templates
+
+    def overlap(start: Column, n: Column) -> Column:
+        return F.size(F.array_intersect(F.slice("__words", start + 1, n), "__template"))
+
+    first = F.greatest(F.col("__p") - F.col("__long") + 1, F.lit(0))
+    last = F.greatest(F.least(F.col("__p"), F.size("__words") - F.col("__long")), F.lit(0))
+    near = pairs.where(overlap(first, F.col("__p") - first + F.col("__long")) >= F.col("__need"))
+    best = F.array_max(F.transform(F.sequence(first, last), lambda i: overlap(i, F.col("__long"))))
+    met = near.withColumn("__best", best).where(F.col("__best") >= F.col("__need"))
+    return met.select(*kept, "label", (F.col("__best") / F.col("__n")).alias("containment"))
+
+
 def join_blocks(blocks: DataFrame, sets: dict[str, list[str]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """(block's columns, label, containment) of all pairs that meet the threshold, once for each word that leads to the pair. blocks has the array column words;
     columns of the names label and containment are replaced."""
@@ -147,6 +171,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     texts = skinny.where(F.col("lines").isNotNull()).groupBy("fp", "fp2").agg(F.any_value("lines").alias("lines"))
     blocks = texts.select("fp", "fp2", F.explode("lines").alias("line")).select("fp", "fp2", words_of(F.col("line")).alias("words"))
     joined = join_blocks(blocks.where(F.arrays_overlap("words", F.lit(heads))), sets, order)
+    whole = texts.where(F.size("lines") > 1).select("fp", "fp2", words_of(F.array_join("lines", "\n")).alias("words"))
+    joined = joined.unionByName(join_stretches(whole, sets, {k: len(re.findall(r"[0-9a-z]+", t.lower())) for k, t in TEMPLATES.items()}, order))
     labels = joined.groupBy("fp", "fp2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     # Labelled texts are few; each meets the rows of a large group of copies in so many tasks as there are salts.
     salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -448,6 +448,40 @@ def test_join_filters_lose_nothing(spark):
     assert {(r.i, r.label) for r in got.collect()} == want
 
 
+WRAPPED = {
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "apache-2.0-terms": "# you may not use this file except in compliance with the License.\r\n# You may obtain a copy of the License at\r\n#\r\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file */",
+}
+
+
+def test_wrapped_licenses(spark, tmp_path):
+    rows = [(i, f"some code\n{t}\nmore code") for i, t in enumerate(WRAPPED.values())] + [(9, "Permission is hereby granted to\nany person to do nothing\n\nof this software"), (10, "mozilla\n" * 40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.query(spark, str(tmp_path)).collect()}
+    assert got == {**{i: (k, 1.0) for i, k in enumerate(WRAPPED)}, 9: ("", 0.0), 10: ("", 0.0)}
+
+
+def test_stretches_lose_nothing(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(14)]
+    templates = {f"t{k}": [rng.choice(vocabulary) for _ in range(rng.randrange(2, 9))] for k in range(8)}
+    sets = {k: list(dict.fromkeys(t)) for k, t in templates.items()}
+    texts = [(i, [rng.choice(vocabulary + ["other"]) for _ in range(rng.randrange(1, 25))]) for i in range(120)]
+    order = rng.sample(vocabulary, len(vocabulary))
+    want = {}
+    for i, w in texts:
+        for k, s in sets.items():
+            n = len(templates[k])
+            best = max(len({*w[j : j + n]} & {*s}) for j in range(max(1, len(w) - n + 1)))
+            if best >= math.ceil(0.7 * len(s) - 1e-9):
+                want[i, k] = best / len(s)
+    joined = licenses.join_stretches(spark.createDataFrame(texts, "i int, words array<string>"), sets, {k: len(t) for k, t in templates.items()}, order, 0.7)
+    got = {(r.i, r.label): r.c for r in joined.groupBy("i", "label").agg(F.max("containment").alias("c")).collect()}
+    assert got == want
+
+
 # 8
 
 
