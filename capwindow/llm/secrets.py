@@ -2,7 +2,9 @@
 
 Base kinds (assign, access, hex) are the matches of their patterns. Beyond these, candidates in base64 or hex
 are decoded and reported only if their bytes parse as a key encoding whose nested lengths add up
-(kinds der and pem), or as a signed token whose header names an algorithm (kind jwt).
+(kinds der and pem), or as a signed token whose header names an algorithm (kind jwt). Key encodings are those of RSA, DSA and EC keys,
+PKCS#8 with and without a password, public keys, and openssh-key-v1. Hex is read in either case. Base64 may be wrapped in lines or hold
+escaped line breaks, as in JSON; without PEM marks the key's own lengths tell where it ends.
 
 Nulls and empty texts have no spans. Spans are in code points, the end exclusive, ordered by start, then kind as listed.
 Other columns are left alone, whatever their names; equal rows get equal spans.
@@ -31,8 +33,18 @@ ACCESS = r"AKIA[A-Z0-9]+"
 #: The longest runs of hex digits; shorter ones would be dropped after the match.
 HEX = r"[0-9a-f]{24,}"
 JWT = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{16,}"
-PEM = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)-----END \1-----"
+PEM = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+?)-----END \1-----"
 ENCODED = r"[A-Za-z0-9+/_-]{48,}={0,2}"
+#: Hex in either case, of keys.
+ANY_HEX = r"[0-9A-Fa-f]{64,}"
+#: Where base64 of a sequence or of openssh-key-v1 may start, at a word's or a line's start, and lines of base64 from there.
+WRAPPED_START = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r)|(?<=\\t))(?:M[A-I]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{10}"
+WRAPPED = r"(?:[A-Za-z0-9+/_-]|\\+/)+(?:[\x20\t]*(?:\r?\n|\r|(?:\\+[nrt])+)[\x20\t]*(?:[A-Za-z0-9+/_-]|\\+/)+)*={0,2}"
+#: What stands between the characters of base64.
+BREAKS = r"\\+(?:[nrt]|(?=/))|\s+"
+#: Password-based encryption, by PKCS#5 and PKCS#12: the first bytes of the object identifiers.
+PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+OPENSSH = b"openssh-key-v1\0"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 
@@ -65,8 +77,29 @@ def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]
     return out
 
 
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the openssh-key-v1 at the start of data: cipher, key derivation, its options, public keys and the private part."""
+    if not data.startswith(OPENSSH):
+        return None
+    at, left, found = len(OPENSSH), 3, []
+    while left:
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        found.append(data[at + 4 : at + 4 + size])
+        at, left = at + 4 + size, left - 1
+        if len(found) == 3:
+            left = int.from_bytes(data[at : at + 4], "big") + 1  # and the private part
+            at += 4
+            if not 2 <= left <= 64:
+                return None
+    return at if found[0] and found[1] and all(found[3:]) else None
+
+
 def is_key(data: bytes) -> bool:
-    """A sequence that fills data and holds a version and key numbers, or an algorithm identifier and a key."""
+    """A sequence that fills data and holds a version and key numbers, or an algorithm identifier and a key; or an openssh-key-v1."""
+    if data.startswith(OPENSSH):
+        return openssh_size(data) == len(data)
     if len(data) < 32 or data[0] != 0x30:
         return False
     top = der_children(data, 0, len(data))
@@ -78,6 +111,11 @@ def is_key(data: bytes) -> bool:
     tags = [t for t, _, _ in inner]
     if tags[0] == 0x02 and len(inner) >= 8 and set(tags) == {0x02}:  # numbers of a private key
         return True
+    if tags == [0x02] * 6 and data[inner[0][1] : inner[0][2]] == b"\0":  # numbers of a DSA key
+        return True
+    if tags == [0x30, 0x04]:  # an encrypted private key; digests have this form, too, with other algorithms
+        algorithm = der_children(data, inner[0][1], inner[0][2])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(PBE) and inner[1][1] < inner[1][2]
     if tags[0] == 0x02 and 0x04 in tags[1:3]:  # a private key in an octet string
         return all(der_children(data, s, e) for t, s, e in inner if t == 0x30)
     if tags == [0x30, 0x03]:  # algorithm and public key bits
@@ -89,7 +127,7 @@ def is_key(data: bytes) -> bool:
 
 
 def from_base64(text: str) -> bytes | None:
-    body = re.sub(r"\s+", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(BREAKS, "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -98,6 +136,38 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
+def wrapped_key(text: str, start: int, by: dict[str, re.Pattern]) -> int | None:
+    """The end of a key in lines of base64 that starts here; lines after it don't matter."""
+    body = by["wrapped"].match(text, start)
+    if not body:
+        return None
+    head = from_base64(re.sub(BREAKS, "", body[0][:80])[:8]) or b""
+    if head[:1] == b"\x30":
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if n > 3:
+            return None
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    else:
+        joined = re.sub(BREAKS, "", body[0]).rstrip("=")
+        size = openssh_size(from_base64(joined[: len(joined) // 4 * 4]) or b"")
+        if size is None:  # the last characters may be the key's or those of the next line
+            size = openssh_size(from_base64(joined) or b"")
+    left = -(-(size or 0) * 4 // 3)
+    if not left or left > len(body[0]):
+        return None
+    for piece in by["piece"].finditer(text, start, body.end()):
+        if left <= len(piece[1] or ""):
+            break
+        left -= len(piece[1] or "")
+    else:
+        return None
+    end = piece.start() + left
+    if left < len(piece[1]) or end < body.end() and by["joint"].match(text, end):
+        return None  # the line goes on
+    end = by["padding"].match(text, end).end()
+    return end if is_key(from_base64(text[start:end]) or b"") else None
+
+
 def is_token(text: str) -> bool:
     """Three parts, the first of which decodes to a JSON object that names an algorithm."""
     head, body, _ = text.split(".", 2)
@@ -112,7 +182,7 @@ def is_token(text: str) -> bool:
 
 
 def patterns() -> dict[str, re.Pattern]:
-    return {k: re.compile(p) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("jwt", JWT), ("pem", PEM), ("encoded", ENCODED))}
+    return {k: re.compile(p) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("jwt", JWT), ("pem", PEM), ("encoded", ENCODED), ("any_hex", ANY_HEX), ("wrapped_start", WRAPPED_START), ("wrapped", WRAPPED), ("piece", r"(?:\\+[nrt])+|([A-Za-z0-9+/_-]+)"), ("joint", r"\\+/"), ("padding", "={0,2}"))}
 
 
 def find(text: str, by: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
@@ -126,6 +196,9 @@ def find(text: str, by: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
         out.add((m.start(), 2, m.end()))
         if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
             out.add((m.start(), KINDS.index("der"), m.end()))
+    for m in by["any_hex"].finditer(text):
+        if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
+            out.add((m.start(), KINDS.index("der"), m.end()))
     if "." in text:
         out |= {(m.start(), KINDS.index("jwt"), m.end()) for m in by["jwt"].finditer(text) if is_token(m[0])}
     if "-----BEGIN" in text:
@@ -133,6 +206,12 @@ def find(text: str, by: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
     for m in by["encoded"].finditer(text):
         if is_key(from_base64(m[0]) or b""):
             out.add((m.start(), KINDS.index("der"), m.end()))
+    pems = [(start, end) for start, k, end in out if KINDS[k] == "pem"]
+    at = 0
+    for m in by["wrapped_start"].finditer(text):
+        if m.start() >= at and not any(a <= m.start() < b for a, b in pems) and (end := wrapped_key(text, m.start(), by)):
+            out.add((m.start(), KINDS.index("der"), end))
+            at = end
     return [(KINDS[k], start, end) for start, k, end in sorted(out)]
 
 

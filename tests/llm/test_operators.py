@@ -242,6 +242,47 @@ def test_structures_confirm():
     assert secrets.mask("a token=abcdef1 b", "[S]", by) == "a [S] b" and secrets.mask(None, "[S]", by) is None
 
 
+def wrapped(data, width=64, joint="\n"):
+    import base64
+
+    text = base64.b64encode(data).decode()
+    return joint.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("more", [0, 1, 2])
+def test_key_encodings(more):
+    import json
+
+    by, text = secrets.patterns(), lambda s: len(s).to_bytes(4, "big") + s
+    number = lambda k: der(2, bytes(range(1, k + 1)))
+    pbes2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"salt")))
+    openssh = b"openssh-key-v1\0" + text(b"none") * 2 + text(b"") + (1).to_bytes(4, "big") + text(bytes(51)) + text(bytes(range(136 + more)))
+    keys = {
+        "OPENSSH PRIVATE KEY": openssh,
+        "ENCRYPTED PRIVATE KEY": der(0x30, pbes2 + der(4, bytes(range(160 + more)))),
+        "DSA PRIVATE KEY": der(0x30, der(2, b"\0") + number(100) + number(20) + number(99) + number(98) + number(20 + more)),
+        "RSA PRIVATE KEY": der(0x30, der(2, b"\0") + b"".join(number(40) for _ in range(7)) + number(40 + more)),
+        "EC PRIVATE KEY": der(0x30, der(2, b"\1") + der(4, bytes(32 + more)) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))) + der(0xA1, der(3, bytes(66)))),
+    }
+    for name, key in keys.items():
+        pem = f"-----BEGIN {name}-----\n{wrapped(key)}\n-----END {name}-----\n"
+        assert secrets.find(pem, by) == [("pem", 0, len(pem) - 1)], name
+        for quoted in (json.dumps({"k": pem}), json.dumps(json.dumps([pem])), json.dumps(pem).replace("/", "\\/")):
+            (span,) = [s for s in secrets.find(quoted, by) if s[0] == "pem"]
+            assert quoted[span[1] :].startswith("-----BEGIN") and quoted[: span[2]].endswith(f"END {name}-----")
+            assert secrets.mask(quoted, "", by) == quoted[: span[1]] + quoted[span[2] :]
+        for hexed in (key.hex().upper(), key.hex()):
+            assert ("der", 2, 2 + len(hexed)) in secrets.find(f"x {hexed} y", by)
+        for joint in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+            body = wrapped(key, joint=joint)
+            for before, after in (("x ", " y"), ("", ""), ("a line\n", "\nanother line\n"), ("someverylongwordinthelinebefore" + joint, joint + "end")):
+                assert ("der", len(before), len(before) + len(body)) in secrets.find(before + body + after, by), (name, joint, before)
+        for damaged in (key[:40] + key[41:], key[:-30]):
+            assert not [s for s in secrets.find(wrapped(damaged), by) if s[0] in ("pem", "der")]
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    assert not secrets.find(wrapped(digest), by)
+
+
 # 4
 
 
