@@ -33,6 +33,8 @@ PHONE = DIGITS | frozenset(" ().-")
 URL_STOP = frozenset(" \t\n\r\x0b\x0c\"'<>|{}[]\\^`")
 #: Cues that announce an identifier, in lower case, upper case and capitalised.
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
+#: Words that may stand between a cue and its identifier.
+FILLERS = ("number", "nummer", "no", "nr", "is")
 SCHEMES = ("http://", "https://", "ftp://")
 
 
@@ -118,9 +120,21 @@ def url_at(text: str, start: int, scheme: int) -> tuple[int, int] | None:
 
 
 def identifier_after(text: str, at: int) -> tuple[str, int, int] | None:
-    """An IBAN, or an account number of 8 to 15 digits, a short way after its cue."""
-    while at < len(text) and text[at] in " \t:=#.":
-        at += 1
+    """An IBAN, or an account number of 8 to 15 digits, a short way after its cue, with at most three filler words between."""
+    for _ in range(4):
+        while at < len(text) and text[at] in " \t:=#.":
+            at += 1
+        if hit := identifier_at(text, at):
+            return hit
+        end = run_end(text, at, LETTERS)
+        if end - at > 6 or text[at:end].lower() not in FILLERS or text[end : end + 1] not in (" ", "\t", ":", "=", "#", "."):
+            return None
+        at = end
+    return None
+
+
+def identifier_at(text: str, at: int) -> tuple[str, int, int] | None:
+    """The IBAN or account number that starts here."""
     end, kept = at, []
     while end < len(text) and (text[end] in UPPER or text[end] in DIGITS or text[end] == " " and kept and text[end + 1 : end + 2] in UPPER | DIGITS):
         kept += text[end].strip()

@@ -216,6 +216,20 @@ def test_pii_anchors_equal_patterns():
     assert [s[0] for s in pii.find(TEXTS[14], anchors) if s[0] not in pii.BASE_KINDS] == ["url", "url", "iban", "account"]
 
 
+@pytest.mark.parametrize("before, value, kind", [
+    ("account number: ", "12345678", "account"), ("Account No. ", "12345678", "account"), ("ACCOUNT NUMBER IS ", "12345678", "account"), ("Konto Nr. ", "12345678", "account"),
+    ("acct is: ", "12345678", "account"), ("IBAN is ", "DE89370400440532013000", "iban"), ("iban no ", "DE89 3704 0044 0532 0130 00", "iban"), ("IBAN: ", "NO93 8601 1117 947", "iban"),
+])
+def test_words_after_cues(before, value, kind):
+    found = [s for s in pii.find(f"{before}{value}.", pii.automaton()) if s[0] in ("iban", "account")]
+    assert found == [(kind, len(before), len(before) + len(value))]
+
+
+def test_other_words_after_cues():
+    for text in ("account nothing 12345678", "account issue 12345678", "account no no no no 12345678", "account of 12345678"):
+        assert not [s for s in pii.find(text, pii.automaton()) if s[0] == "account"]
+
+
 def der(tag, body):
     n = len(body)
     head = bytes((n,)) if n < 128 else bytes((0x81, n)) if n < 256 else b"\x82" + n.to_bytes(2, "big")
