@@ -85,7 +85,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     common.small_batches(spark)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # A part of each language by a hash, about four samples large, so that the exact choice sorts few rows whatever the language's size.
-    counts = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__all"))
+    # Distinct ids count, as repeated rows share a hash.
+    counts = rows.select(F.col(lang_col).alias("__lang"), F.col(id_col).alias("__i")).distinct().groupBy("__lang").agg(F.count("*").alias("__all"))
     place = F.xxhash64(id_col)
     part = F.pmod(place, F.lit(1 << 30)) / (1 << 30) * F.col("__all") < 4 * sample
     # One row a language goes to all tasks, so that the others are left out before anything is shuffled.

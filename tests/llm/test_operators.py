@@ -172,6 +172,15 @@ def test_grams_by_hand():
     assert {name(int(c)): int(n) for c, n in zip(codes, counts)} == {"a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2}
 
 
+def test_language_of_few_ids(spark):
+    """A language whose rows repeat few ids is learned, whatever the ids' hashes."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    late = spark.range(100).where(place > 0.9).first().id
+    rows = spark.range(2000).select(F.lit(late).alias("doc_id"), F.lit("der hund und die katze").alias("text"), F.lit("de").alias("lang"))
+    rows = rows.unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("the dog and the cat").alias("text"), F.lit("en").alias("lang")))
+    assert language.learn(rows).names == ["de", "en"]
+
+
 # 3 and 6
 
 
