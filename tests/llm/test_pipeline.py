@@ -5,7 +5,8 @@ import collections
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import BASE, SCHEMA, WORD, classes, documents, long_text, rows_of
+from capwindow.llm import neardup
+from tests.llm.test_operators import BASE, SCHEMA, WORD, below_with_pairs, classes, documents, long_text, rows_of
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -80,3 +81,14 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.count() > 0 and set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert {r.doc_id for r in got.collect()} <= {d[0] for d in documents(spark, SMALL)}
+
+
+def test_near_duplicates_just_below(spark, monkeypatch):
+    """A group larger than NODE, mostly just below the stage's similarity: of the few pairs that reach it, one document stays."""
+    for name, value in (("NODE", 64), ("LEAF", 16), ("PIVOTS", 4), ("DEEPEST", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = below_with_pairs(5, 180, 100, 13, 2)
+    want = {c for _, _, c in classes(texts, 5, 80)}
+    assert len(want) == len(texts) - 6
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SMALL).collect()} == want
