@@ -6,16 +6,19 @@ pairs of ids to ids: flat arrays in which the pairs of a left token share one sh
 are the constants of one uncorrelated scalar subquery over a local relation, which keeps them out of the plans' texts.
 Every split of a token into two tokens is in the map, so the pairs' ranks are those of the joined bytes.
 
+A word of more than LONG bytes is cut first where no token holds the two neighbouring bytes, as no merge can join these. The fold's time grows with the
+square of such a piece, not of the word.
+
 Words repeat, so the encodings of the most frequent distinct words (about TABLE_WORDS at most, whatever the corpus) are
 folded once and shared in the same way; every other word is folded where it stands, with the same result.
 Decoding maps ids to their binary pieces and joins these.
 
-A null or empty text has no ids and decodes to no bytes. Other columns are left alone. Equal texts get equal ids.
+A null or empty text has no ids and decodes to no bytes. Equal texts get equal ids; an empty table gives an empty result. Other columns are left alone,
+whatever their names; the column added replaces one of its name.
 """
 
 from __future__ import annotations
 
-import base64
 import random
 
 import numpy as np
@@ -24,19 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capwindow.llm import common
+from capwindow.llm.common import read_ranks
 
 #: Distinct words whose encodings are shared; about 100 bytes each in the driver and in every task.
 TABLE_WORDS = 1 << 18
 #: Longer words are not shared.
 LONGEST = 40
+#: Bytes of words from which on pieces pay.
+LONG = 64
 _ID_BITS = 17
 _MASK = (1 << _ID_BITS) - 1
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ranks from a file with a base64 token and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
+NO_RANK = 1 << 40
 
 
 def java_pattern(pattern: str) -> str:
@@ -100,11 +101,15 @@ class Coder:
         if len(ranks) >= _MASK:
             raise ValueError(f"at most {_MASK - 1} ranks")
         shifts, entries = rank_rows(ranks)
+        together = np.zeros(1 << 16, bool)
+        for token in ranks:
+            together[[a << 8 | b for a, b in zip(token, token[1:])]] = True
         pieces = [p.hex() for p in sorted(ranks, key=ranks.__getitem__)]
         self.spark, self.pattern = spark, java_pattern(pattern)
         self.byte_ids = F.lit([ranks[bytes((b,))] for b in range(256)]).cast("array<bigint>")
-        self.shifts, self.entries = (pa.array([x], pa.list_(pa.int64())) for x in (shifts, entries))
-        self.merges = spark.createDataFrame(pa.table({"shifts": self.shifts, "entries": self.entries}))
+        kinds = {"shifts": (shifts, pa.int64()), "entries": (entries, pa.int64()), "together": (together.tolist(), pa.bool_())}
+        self.tables = {k: pa.array([x], pa.list_(kind)) for k, (x, kind) in kinds.items()}
+        self.merges = spark.createDataFrame(pa.table(self.tables))
         self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
         self.known: DataFrame | None = None
 
@@ -112,7 +117,7 @@ class Coder:
     def using(df: DataFrame, out: str, table: DataFrame, body) -> DataFrame:
         """df with body(the arrays in table's only row) in column out. A subquery can't stand inside a higher-order
         function, so it is a column that is read once, which the optimizer moves to its only use."""
-        hidden = "__constants"
+        hidden = common.free_name(df, "constants")
 
         def bound(row: Column, names: list[str], held: list[Column]) -> Column:
             return let(row[names[0]], lambda x: bound(row, names[1:], [*held, x])) if names else body(*held)
@@ -129,18 +134,26 @@ class Coder:
         entry = F.get(entries, (F.get(shifts, left.cast("int")) + right).cast("int"))
         return entry.bitwiseXOR(F.shiftleft(left, _ID_BITS))
 
-    def fold(self, shifts: Column, entries: Column, word: Column) -> Column:
-        """The word's ids: the state holds ids and the ranks of neighbours. Slices and concatenations of arrays are
-        slow outside generated code, so a merge rewrites one place and filters out the next."""
-        start = F.transform(
-            F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0)),
-            lambda c: F.get(self.byte_ids, F.ascii(c)),
-        )
-        none = F.lit(1 << 40)
+    def fold(self, shifts: Column, entries: Column, together: Column, word: Column) -> Column:
+        """The word's ids."""
+        letters = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))
+        id_of = lambda c: F.get(self.byte_ids, F.ascii(c))
+        rank = lambda a, b: F.coalesce(self.rank(shifts, entries, a, b), F.lit(NO_RANK))
+
+        def pieces(c: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | ~F.get(together, F.ascii(F.get(c, i - 1)) * 256 + F.ascii(F.get(c, i))))
+            return let(starts, lambda at: F.transform(at, lambda x, k: F.slice(c, x + 1, F.coalesce(F.get(at, k + 1), F.size(c)) - x)))
+
+        cut = F.when(F.octet_length(word) > LONG, let(letters, pieces)).otherwise(F.array(letters))
+        return F.flatten(F.transform(cut, lambda c: self.fold_one_by_one(rank, F.transform(c, id_of), F.size(c)))).cast("array<int>")
+
+    @staticmethod
+    def fold_one_by_one(rank, ids: Column, n: Column) -> Column:
+        """The state holds ids and the ranks of neighbours. Slices and concatenations of arrays are slow outside generated
+        code, so a merge rewrites one place and filters out the next."""
 
         def state(ids: Column) -> Column:
-            ranks = F.transform(ids, lambda a, i: F.coalesce(self.rank(shifts, entries, a, F.get(ids, i + 1)), none))
-            return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+            return F.struct(ids.alias("ids"), F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks"))
 
         def step(at: Column, _: Column) -> Column:
             def merge(least: Column, p: Column) -> Column:
@@ -153,9 +166,7 @@ class Coder:
 
             return let(F.array_min(at["ranks"]), go_on)
 
-        steps = F.sequence(F.lit(2), F.octet_length(word))
-        folded = F.aggregate(steps, let(start, state), step, lambda at: at["ids"])
-        return F.when(F.octet_length(word) == 1, start).otherwise(folded).cast("array<int>")
+        return F.aggregate(F.sequence(F.lit(2), n), let(ids, state), step, lambda at: at["ids"])
 
     def learn(self, words: DataFrame, most: int = TABLE_WORDS) -> None:
         """Share the encodings of the most frequent words; words has the column w, one row an occurrence.
@@ -172,7 +183,7 @@ class Coder:
         words = counted.where((F.col("level") >= least) | some).repartition("w").select("w", F.xxhash64("w").alias("h"))
         # At most so many rows as the table has words.
         found = self.using(words, "ids", self.merges, lambda *merges: self.fold(*merges, F.col("w"))).toArrow()
-        self.known = self.spark.createDataFrame(pa.table({"shifts": self.shifts, "entries": self.entries, "known": buckets_of(found)}))
+        self.known = self.spark.createDataFrame(pa.table(self.tables | {"known": buckets_of(found)}))
 
     def with_ids(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         """df with the ids of its texts: of each word the shared ones, or its fold."""
@@ -180,10 +191,10 @@ class Coder:
         if self.known is None:
             return self.using(df, out, self.merges, lambda *merges: F.flatten(F.transform(words, lambda w: self.fold(*merges, w))))
 
-        def ids(shifts: Column, entries: Column, known: Column) -> Column:
+        def ids(shifts: Column, entries: Column, together: Column, known: Column) -> Column:
             def of(w: Column) -> Column:
                 place = F.pmod(F.xxhash64(w), F.size(known).cast("bigint")).cast("int")
-                return F.coalesce(F.try_element_at(F.get(known, place), w), self.fold(shifts, entries, w))
+                return F.coalesce(F.try_element_at(F.get(known, place), w), self.fold(shifts, entries, together, w))
 
             return F.flatten(F.transform(words, of))
 

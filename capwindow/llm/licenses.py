@@ -8,7 +8,7 @@ its first shared word on both must have enough words left (positional filter); w
 filter loses a block. For stretches, the words around a prefix word must hold enough of the template; then every stretch with that word
 is verified. Templates are a fixed list, so their tables are as small as that list, whatever the corpus.
 
-Null and empty texts have no words, places or labels. Labels are joined to documents by a fingerprint of the text, so equal texts
+Null and empty texts have no words, places or labels; very long texts are read whole, and an empty table gives an empty result. Labels are joined to documents by a fingerprint of the text, so equal texts
 are verified once and get equal results, whatever their ids. Other columns of the input don't matter.
 """
 

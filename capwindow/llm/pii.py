@@ -7,7 +7,7 @@ No parser searches the text, so the work per document is one automaton pass plus
 Base kinds (email, ip, card, phone) follow the leftmost, non-overlapping reading of their patterns;
 the added kinds are url, iban and account. Spans are in code points, the end exclusive.
 
-Nulls and empty texts have no spans. Other columns are left alone, whatever their names; equal rows get equal spans.
+Nulls and empty texts have no spans; very long texts are read whole, and an empty table gives an empty result. Other columns are left alone, whatever their names; equal rows get equal spans.
 """
 
 from __future__ import annotations

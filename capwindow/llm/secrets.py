@@ -6,7 +6,7 @@ are decoded and reported only if their bytes parse as a key encoding whose neste
 PKCS#8 with and without a password, public keys, and openssh-key-v1. Hex is read in either case. Base64 may be wrapped in lines or hold
 escaped line breaks, as in JSON; without PEM marks the key's own lengths tell where it ends.
 
-Nulls and empty texts have no spans. Spans are in code points, the end exclusive, ordered by start, then kind as listed.
+Nulls and empty texts have no spans; very long texts are read whole, and an empty table gives an empty result. Spans are in code points, the end exclusive, ordered by start, then kind as listed.
 Other columns are left alone, whatever their names; equal rows get equal spans.
 """
 

@@ -8,12 +8,13 @@ lists of boundaries, and a token that crosses boundaries is allocated by one exp
 - share: to all sections that it touches, by the share of its bytes
 
 Sections are lines (each with its line feed) or given fields, joined in order with nothing between. A null text is empty and has
-one section without tokens; a null field is an empty one. Counts over a document's sections always sum to its tokens.
+one section without tokens; a null field is an empty one. Counts over a document's sections always sum to its tokens. Empty lines and fields are
+sections, too; very long texts are encoded whole. Equal rows get equal counts; an empty table gives an empty result. Other columns are left
+alone, whatever their names; the column added replaces one of its name.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,6 @@ RULES = ("start", "end", "share")
 COUNTS = "array<struct<section:int,start:int,end:int,n_tokens:double,n_crossing:int>>"
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
-
-
 def section_ends(raw: np.ndarray) -> np.ndarray:
     """Byte offsets of the ends of lines; one section at least."""
     ends = np.flatnonzero(raw == 10) + 1
@@ -70,14 +66,16 @@ def count_one(text: str, ends: np.ndarray | None, encode, lengths: np.ndarray, r
     ]
 
 
-def count_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str], rule: str = "start", out: str = "sections") -> DataFrame:
-    """df with the counts of its sections: the lines of the only column, or the columns as fields."""
+def count_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str], rule: str = "start", out: str = "sections", by_lines: bool = False) -> DataFrame:
+    """df with the counts of its sections: the columns as fields, or, with by_lines, the lines of the only column."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    if by_lines and len(columns) != 1:
+        raise ValueError("lines are those of one column")
     spark = df.sparkSession
     common.small_batches(spark)
     shipped = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the corpus
-    by_lines = len(columns) == 1
+    alone = len(columns) == 1
 
     def counted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         import tiktoken
@@ -91,13 +89,13 @@ def count_tokens(df: DataFrame, ranks: dict[bytes, int], pattern: str, columns:
         encode = lambda text: np.asarray(coder.encode_ordinary(text), np.int64)
         for batch in batches:
             rows = []
-            for values in zip(*(c if isinstance(c, list) else c.to_pylist() for c in ((batch,) if by_lines else batch))):
+            for values in zip(*(c if isinstance(c, list) else c.to_pylist() for c in ((batch,) if alone else batch))):
                 parts = [v or "" for v in values]
                 ends = None if by_lines else np.cumsum([len(p.encode()) for p in parts])
                 rows.append(count_one("".join(parts), ends, encode, lengths, rule))
             yield pa.array(rows, kind)
 
-    if by_lines:
+    if alone:
 
         def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             return counted(batches)
@@ -113,8 +111,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    counted = count_tokens(docs, ranks, public_tokenizers.PATTERN, ["text"])
+    ranks = common.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = count_tokens(docs, ranks, public_tokenizers.PATTERN, ["text"], by_lines=True)
     return counted.select("doc_id", F.explode("sections").alias("s")).select(
         "doc_id", F.col("s.section"), F.col("s.start"), F.col("s.end"), F.col("s.n_tokens").cast("long").alias("n_tokens"), F.col("s.n_crossing")
     )
