@@ -1,16 +1,17 @@
 """Mixing sources to target weights over a time-varying curriculum.
 
-Each source gets a target by weighted shares of the wanted total; targets stop at a multiple of the source's size and
+Each source has a weight and a schedule by its place in the order of sources, both repeating; a source may be given a schedule of its own, and
+without any the schedule is flat. Each source gets a target by weighted shares of the wanted total; targets stop at a multiple of the source's size and
 the excess is shared again. Within a source, documents stand in the order of a hash. Their running sizes are its supply;
 its demand over training time is the integral of its weight schedule, scaled to its target. Inverting the demand at a
 document's place in the supply gives its training position in [0, 1]; passes after the first go on where the last ended.
 
 The running sizes come from two levels: sums of (source, bucket) give each bucket its start, and only a bucket's rows
-meet in one task, so a source with a third of all rows is spread over as many tasks as there are buckets.
+meet in one task. There are so many buckets as make some BUCKET_ROWS rows each if one source had all rows, so a hot source is spread over as many tasks.
 
 A null source is a source of its own, last in order. Null sizes count as 0; documents of size 0 are never taken and have
-no position. Ties in the hash are broken by the order columns, equal rows are interchangeable. An empty table gives an empty result.
-The columns added (source_size, target, taken, passes, position) replace columns of those names; others are left alone.
+no position. Ties in the hash are broken by the order columns, equal rows are interchangeable. An empty table gives an empty result. Texts aren't read here,
+so their length doesn't matter. The columns added (source_size, target, taken, positions) replace columns of those names; others are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from capwindow.llm import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-BUCKETS = 512
+BUCKET_ROWS = 1 << 16
 SEED = 20
-#: Weight over training time by the source's base weight: (time, multiplier) knots, linear between them, from 0 to 1.
-SCHEDULES = {5.0: ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), 2.0: ((0.0, 1.0), (1.0, 1.0)), 1.0: ((0.0, 0.5), (0.7, 0.5), (1.0, 2.5))}
+#: Weight over training time: (time, multiplier) knots, linear between them, from 0 to 1. Sources take these in turn.
+FLAT = ((0.0, 1.0), (1.0, 1.0))
+SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), FLAT, ((0.0, 0.5), (0.7, 0.5), (1.0, 2.5)))
 
 
 def source_targets(sums: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
-    """(key, source_size) with weight and target. Sources may be many: ranks come from a range sort, and the common
+    """(key, source_size) with rank, weight and target. Sources may be many: ranks come from a range sort, and the common
     level from sums over sources, one small aggregate for each round of capping."""
     sized = common.cut(sums.orderBy("key").withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
@@ -38,9 +40,9 @@ def source_targets(sums: DataFrame, weights: tuple, share: float, most: float) -
     for row in counts:
         offset = F.when(part == row["part"], F.lit(before)).otherwise(offset)
         before += row["count"]
-    rank = F.pmod(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + offset, F.lit(len(weights)))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank + 1).cast("int"))
-    sized = sized.select("key", "source_size", weight.alias("weight"))
+    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + offset
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    sized = sized.select("key", "source_size", rank.alias("rank"), weight.alias("weight"))
     cap = F.col("source_size") * F.lit(float(most))
     total = (sized.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
@@ -80,42 +82,50 @@ def mix(
     weights: tuple = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    schedules: dict = SCHEDULES,
-    buckets: int = BUCKETS,
+    schedules: tuple = SCHEDULES,
+    own_schedules: dict | None = None,
+    buckets: int | None = None,
     whole: bool = False,
 ) -> DataFrame:
     """df with each document's part in the mix. taken counts repeats; where a source's target ends inside a document,
     that document is taken in part, or with whole=True all or not at all, whichever is nearer. positions has one entry for each pass
     that takes any of it. The columns order_cols fix the order inside a source; they should tell rows apart."""
-    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    schedules, buckets = schedules or (FLAT,), buckets or max(1, -(-df.count() // BUCKET_ROWS))
+    hidden = {k: common.free_name(df, f"mix_{k}") for k in ("size", "key", "place", "bucket", "start", "end", "supply", "rank", "goal")}
+    of = {k: F.col(name) for k, name in hidden.items()}
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     place = F.xxhash64(F.lit(SEED), *order_cols)
     # A part of the mixed hash that the order inside a bucket doesn't use.
     bucket = F.pmod(F.xxhash64(F.lit(SEED + 1), place), F.lit(buckets)).cast("int")
-    keyed = df.withColumns({"__size": size, "__key": key, "__place": place}).withColumn("__bucket", bucket)
-    sums = common.cut(keyed.groupBy("__key", "__bucket").agg(F.sum("__size").alias("__sum")))
-    targets = source_targets(sums.groupBy(F.col("__key").alias("key")).agg(F.sum("__sum").alias("source_size")), weights, share, most)
-    ahead = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")  # at most so many rows a source as buckets
-    starts = starts.join(targets.withColumnRenamed("key", "__key"), "__key").withColumnsRenamed({"source_size": "__source_size", "weight": "__weight", "target": "__target"})
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__place", *order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(starts, ["__key", "__bucket"]).withColumn("__end", F.col("__start") + F.sum("__size").over(inside))
-    end, supply, goal, n = F.col("__end"), F.col("__source_size"), F.floor("__target"), F.col("__size")
+    keyed = df.withColumns({hidden["size"]: F.coalesce(F.col(size_col), F.lit(0)).cast("long"), hidden["key"]: key, hidden["place"]: place, hidden["bucket"]: bucket})
+    sums = common.cut(keyed.groupBy(of["key"].alias("key"), of["bucket"].alias("bucket")).agg(F.sum(of["size"]).alias("sum")))
+    targets = source_targets(sums.groupBy("key").agg(F.sum("sum").alias("source_size")), weights, share, most)
+    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(ahead), F.lit(0))).join(targets, "key")  # at most so many rows a source as buckets
+    named = {"key": "key", "bucket": "bucket", "start": "start", "supply": "source_size", "rank": "rank", "goal": "target"}
+    starts = starts.select(*(F.col(c).alias(hidden[k]) for k, c in named.items()))
+    inside = Window.partitionBy(hidden["key"], hidden["bucket"]).orderBy(hidden["place"], *order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.join(starts, [hidden["key"], hidden["bucket"]]).withColumn(hidden["end"], of["start"] + F.sum(of["size"]).over(inside))
+    end, supply, goal, n = of["end"], of["supply"], F.floor(of["goal"]), of["size"]
+
+    def when(at: Column) -> Column:
+        turn = F.pmod(of["rank"], F.lit(len(schedules)))
+        out = invert(at, schedules[-1])
+        for k, knots in enumerate(schedules[:-1]):
+            out = F.when(turn == k, invert(at, knots)).otherwise(out)
+        for source, knots in (own_schedules or {}).items():
+            out = F.when(F.col(source_col).eqNullSafe(F.lit(source)), invert(at, knots)).otherwise(out)
+        return out
+
     parts, positions = [], []
     for k in range(int(-(-most // 1))):
         part = F.greatest(F.lit(0), F.least(goal, end + k * supply) - (end - n + k * supply))
         if whole:
             part = F.when(2 * part >= n, n).otherwise(F.lit(0))
         parts.append(part)
-        at = F.least(F.lit(1.0), (end - n / 2 + k * supply) / F.col("__target"))
-        when = F.lit(None).cast("double")
-        for weight, knots in schedules.items():
-            when = F.when(F.col("__weight") == weight, invert(at, knots)).otherwise(when)
-        positions.append(F.when(part > 0, when))
-    out = placed.withColumns(
-        {"source_size": supply, "target": F.col("__target"), "taken": sum(parts[1:], parts[0]).cast("long"), "positions": F.filter(F.array(*positions), lambda p: p.isNotNull())}
-    )
-    return out.drop("__size", "__key", "__place", "__bucket", "__start", "__end", "__source_size", "__weight", "__target")
+        positions.append(F.when(part > 0, when(F.least(F.lit(1.0), (end - n / 2 + k * supply) / of["goal"]))))
+    out = placed.withColumns({"source_size": supply, "target": of["goal"], "taken": sum(parts[1:], parts[0]).cast("long"), "positions": F.filter(F.array(*positions), lambda p: p.isNotNull())})
+    return out.drop(*hidden.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -124,6 +134,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     sized = common.cut(docs.select("doc_id", "source", size.alias("size")))
     mixed = mix(sized, ["doc_id", "size"])
     return (
-        mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+        mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
         .orderBy(F.asc_nulls_last("position"), "doc_id")
     )
