@@ -4,9 +4,10 @@ A profile ranks the most frequent letter n-grams (n from 1 to 3, words padded by
 ranking is compared to each profile by the out-of-place distance: the sum over its n-grams of the difference of ranks, and the largest one
 where the profile lacks the n-gram. The nearest language wins, ties by its name.
 
-Profiles come from at most SAMPLE labelled documents a language, the first by a hash of their ids, with their whole texts; rows
-without a label never train. Texts that are null or without a letter are undetermined, with score 0, and so is every text where nothing was
-learned. n-grams of equal counts rank by their letters. Equal texts get equal results; other columns are left alone.
+Profiles come from at most SAMPLE labelled documents a language, the first by a hash of their ids and texts, with their whole texts; rows
+without a label never train, equal rows count once, and null ids are ids. Texts that are null or without a letter are undetermined, with score 0, and so is every text where nothing was
+learned. n-grams of equal counts rank by their letters. Equal texts get equal results; other columns are left alone, whatever their names. Very long
+texts count whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,17 +84,17 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Profiles of the languages of labelled rows. Collects at most RANKS n-grams a language."""
     spark = labelled.sparkSession
     common.small_batches(spark)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # A part of each language by a hash, about four samples large, so that the exact choice sorts few rows whatever the language's size.
-    # Distinct ids count, as repeated rows share a hash.
-    counts = rows.select(F.col(lang_col).alias("__lang"), F.col(id_col).alias("__i")).distinct().groupBy("__lang").agg(F.count("*").alias("__all"))
-    place = F.xxhash64(id_col)
-    part = F.pmod(place, F.lit(1 << 30)) / (1 << 30) * F.col("__all") < 4 * sample
+    known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = labelled.where(known).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    # A part of each language by the hash, about four samples large, so that the exact choice sorts few rows whatever the language's size.
+    # Distinct hashes count, as repeated rows share one.
+    counts = rows.select(F.col("lang").alias("of"), "place").distinct().groupBy("of").agg(F.count("*").alias("all"))
+    part = F.pmod("place", F.lit(1 << 30)) / (1 << 30) * F.col("all") < 4 * sample
     # One row a language goes to all tasks, so that the others are left out before anything is shuffled.
-    few = rows.select(id_col, lang_col).join(F.broadcast(counts), F.col(lang_col) == F.col("__lang")).where(part)
-    order = Window.partitionBy(lang_col).orderBy(F.pmod(place, F.lit(1 << 30)), id_col)
-    chosen = common.cut(few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).select(id_col, lang_col))
-    texts = rows.select(id_col, lang_col, text_col).join(F.broadcast(chosen), [id_col, lang_col], "left_semi")  # sample rows a language
+    few = rows.select("lang", "place").join(F.broadcast(counts), F.col("lang") == F.col("of")).where(part).select("lang", "place").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place")
+    chosen = common.cut(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "place"))
+    texts = rows.join(F.broadcast(chosen), ["lang", "place"], "left_semi").groupBy("lang", "place").agg(F.any_value("text").alias("text"))  # sample rows a language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -102,7 +103,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 codes, counts = gram_counts(text, letters)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
 
-    sums = texts.select(F.col(lang_col).cast("string"), text_col).mapInArrow(counted, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = texts.select("lang", "text").mapInArrow(counted, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     profiles: dict[str, list[int]] = {}
     for row in sums.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= RANKS).orderBy("lang", "rank").collect():
