@@ -2,14 +2,20 @@
 
 The reader walks the chain of image directories, decodes strips or tiles (stored, PackBits, LZW, deflate), undoes
 horizontal differencing and crops tiles to the image; each directory becomes one row. The writer makes such files
-from 8-bit samples. Directories that point back end the walk; damaged files give an error text and no pages.
+from 8-bit samples. Directories that point back end the walk; damaged files give an error text and no pages, and so do files that
+declare more samples than their bytes can hold, or more than MOST_SAMPLES.
 
-Null or empty media has no pages. Equal media give equal pages. Other columns are left alone, whatever their names.
+A text is stored as pages of PAGE_ROWS rows. Where it begins in the list of layouts, and the byte order, follow from a checksum of its
+bytes; its pages then take the layouts in turn. So texts of any size go through every compression, strips and tiles, and both predictors.
+
+Null or empty media has no pages. Equal media give equal pages. Very long texts have more pages, each read on its own; an empty table gives an
+empty result. Other columns are left alone, whatever their names; the columns added replace columns of their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,31 +34,34 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 273, 277, 278,
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 CLEAR, END = 256, 257
+#: What PackBits repeats.
+RUN = re.compile(rb"(.)\1{2,}", re.DOTALL)
 
-#: The query's payload: rows of this many samples, so many rows a page.
-ROW, PAGE_ROWS = 576, 64
-#: How pages are stored, in turn: compression, tiled, predictor.
-LAYOUTS = ((DEFLATE, False, 1), (DEFLATE, True, 2), (PACKBITS, False, 1), (LZW, True, 2))
+#: The payload is filled up to a multiple of UNIT bytes, which are so many rows of ROW samples; so many rows a page, at most.
+UNIT, ROW, PAGE_ROWS = 576, 48, 48
+#: How pages are stored, in turn: compression, tiled, predictor. Strips and tiles have DOWN rows; a tile is as wide as a page.
+LAYOUTS = tuple((compression, tiled, predictor) for tiled in (False, True) for predictor in (1, 2) for compression in (PACKBITS, LZW, DEFLATE))
+DOWN = 16
+#: Samples of a file that is read, at most, and of a strip or tile for each of its stored bytes: LZW's longest pieces stand behind 12 bits.
+MOST_SAMPLES, MOST_RATIO = 1 << 30, 4096
 
 PAGE = "struct<page:int,width:int,height:int,compression:int,tiled:boolean,predictor:int,samples:binary,mean:double,distinct:int>"
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < n and end - at < 128 and not (end + 2 < n and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three bytes or more as repeats of at most 128, everything else as literals of at most 128."""
+    out, at = bytearray(), 0
+    for run in [*RUN.finditer(data), None]:
+        start, end = run.span() if run else (len(data), len(data))
+        while at < start:
+            n = min(128, start - at)
+            out.append(n - 1)
+            out += data[at : at + n]
+            at += n
+        while at < end:
+            n = min(128, end - at)
+            out += bytes((257 - n if n > 1 else 0, data[at]))
+            at += n
     return bytes(out)
 
 
@@ -72,49 +81,44 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, widened one code early."""
-    bits, n_bits, out = 0, 0, bytearray()
-    table: dict[bytes, int] = {}
-    width, following = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal bits, n_bits
-        bits, n_bits = (bits << width) | code, n_bits + width
-        while n_bits >= 8:
-            n_bits -= 8
-            out.append((bits >> n_bits) & 255)
-        bits &= (1 << n_bits) - 1
-
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if len(longer) == 1 or longer in table:
-            word = longer
+    """Codes of 9 to 12 bits, high bit first, widened one code early. Strings are known by their prefix's code and last byte."""
+    table: dict[int, int] = {}
+    width, following, bits, n_bits, out = 9, 258, CLEAR, 9, []
+    prefix = -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        longer = prefix << 8 | byte
+        known = table.get(longer)
+        if known is not None:
+            prefix = known
             continue
-        put(word[0] if len(word) == 1 else table[word])
+        bits, n_bits, prefix = bits << width | prefix, n_bits + width, byte
         table[longer] = following
         following += 1
         if following == 4095:
-            put(CLEAR)
+            bits, n_bits = bits << width | CLEAR, n_bits + width
             table, width, following = {}, 9, 258
-        elif following > (1 << width) - 1 and width < 12:
+        elif following == 1 << width:
             width += 1
-        word = data[i : i + 1]
-    if word:
-        put(word[0] if len(word) == 1 else table[word])
-        following += 1
-        if following > (1 << width) - 1 and width < 12:
+        if n_bits > 512:
+            rest = n_bits & 7
+            out.append((bits >> rest).to_bytes(n_bits >> 3, "big"))
+            bits, n_bits = bits & ((1 << rest) - 1), rest
+    if prefix >= 0:
+        bits, n_bits = bits << width | prefix, n_bits + width
+        if following + 1 == 1 << width and width < 12:
             width += 1
-    put(END)
-    if n_bits:
-        out.append((bits << (8 - n_bits)) & 255)
-    return bytes(out)
+    bits, n_bits = bits << width | END, n_bits + width
+    fill = -n_bits % 8
+    out.append((bits << fill).to_bytes((n_bits + fill) >> 3, "big"))
+    return b"".join(out)
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, total = [], 0
+    single = [bytes((i,)) for i in range(256)] + [b"", b""]
+    table, out, total = single.copy(), [], 0
     bits = n_bits = at = 0
     width, last = 9, b""
     while total < size:
@@ -125,27 +129,24 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         n_bits -= width
         code = bits >> n_bits
         bits &= (1 << n_bits) - 1
-        if code == END:
-            break
-        if code == CLEAR:
-            del table[258:]
-            width, last = 9, b""
-            continue
-        if not last:
-            piece = table[code]
-        else:
+        if code < 256 or code > END:
             if code < len(table):
                 piece = table[code]
-            elif code == len(table):
+            elif code == len(table) and last:
                 piece = last + last[:1]
             else:
                 raise ValueError("LZW code out of range")
-            table.append(last + piece[:1])
-            if len(table) + 1 > (1 << width) - 1 and width < 12:
-                width += 1
-        out.append(piece)
-        total += len(piece)
-        last = piece
+            if last:
+                table.append(last + piece[:1])
+                if len(table) + 1 > (1 << width) - 1 and width < 12:
+                    width += 1
+            out.append(piece)
+            total += len(piece)
+            last = piece
+        elif code == END:
+            break
+        else:
+            table, width, last = single.copy(), 9, b""
     return b"".join(out)
 
 
@@ -173,23 +174,23 @@ def expand(data: bytes, compression: int, size: int) -> bytes:
     return out[:size]
 
 
-def blocks_of(image: np.ndarray, tiled: bool, side: int) -> list[np.ndarray]:
-    """Strips of side rows, or tiles of side by side padded with zeros."""
+def blocks_of(image: np.ndarray, tiled: bool, down: int, across: int) -> list[np.ndarray]:
+    """Strips of down rows, or tiles of down by across samples padded with zeros."""
     height, width = image.shape
     if not tiled:
-        return [image[r : r + side] for r in range(0, height, side)]
-    full = np.zeros((math.ceil(height / side) * side, math.ceil(width / side) * side), np.uint8)
+        return [image[r : r + down] for r in range(0, height, down)]
+    full = np.zeros((math.ceil(height / down) * down, math.ceil(width / across) * across), np.uint8)
     full[:height, :width] = image
-    return [full[r : r + side, c : c + side] for r in range(0, full.shape[0], side) for c in range(0, full.shape[1], side)]
+    return [full[r : r + down, c : c + across] for r in range(0, full.shape[0], down) for c in range(0, full.shape[1], across)]
 
 
-def write_tiff(pages: list[tuple[np.ndarray, int, bool, int]], side: int = 64) -> bytes:
-    """A little-endian file of one-sample images: (samples by rows, compression, tiled, predictor) a page."""
-    out = bytearray(b"II*\0\0\0\0\0")
+def write_tiff(pages: list[tuple[np.ndarray, int, bool, int]], down: int = 64, across: int = 64, order: str = "<") -> bytes:
+    """A file of one-sample images in this byte order: (samples by rows, compression, tiled, predictor) a page."""
+    out = bytearray(b"II*\0" if order == "<" else b"MM\0*") + bytes(4)
     link = 4
     for image, compression, tiled, predictor in pages:
         offsets, counts = [], []
-        for block in blocks_of(image, tiled, side):
+        for block in blocks_of(image, tiled, down, across):
             if predictor == 2:
                 block = np.diff(block, axis=1, prepend=np.zeros((block.shape[0], 1), np.uint8))
             stored = compress(block.tobytes(), compression)
@@ -198,18 +199,18 @@ def write_tiff(pages: list[tuple[np.ndarray, int, bool, int]], side: int = 64) -
             out += stored
         where = (TILE_OFFSETS, TILE_BYTES) if tiled else (STRIP_OFFSETS, STRIP_BYTES)
         tags = {WIDTH: [image.shape[1]], LENGTH: [image.shape[0]], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
-        tags |= {where[0]: offsets, where[1]: counts} | ({TILE_WIDTH: [side], TILE_LENGTH: [side]} if tiled else {ROWS_PER_STRIP: [side]})
+        tags |= {where[0]: offsets, where[1]: counts} | ({TILE_WIDTH: [across], TILE_LENGTH: [down]} if tiled else {ROWS_PER_STRIP: [down]})
         entries = bytearray()
         for tag, values in sorted(tags.items()):
-            packed = struct.pack(f"<{len(values)}I", *values)
+            packed = struct.pack(f"{order}{len(values)}I", *values)
             if len(values) > 1:
                 out += b"\0" * (len(out) % 2)
-                packed, place = struct.pack("<I", len(out)), packed
+                packed, place = struct.pack(f"{order}I", len(out)), packed
                 out += place
-            entries += struct.pack("<HHI", tag, 4, len(values)) + packed
+            entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + packed
         out += b"\0" * (len(out) % 2)
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(tags)) + entries
+        struct.pack_into(f"{order}I", out, link, len(out))
+        out += struct.pack(f"{order}H", len(tags)) + entries
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
@@ -226,12 +227,14 @@ def directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], i
         place = at + 10 + 12 * i
         if count * FIELD_SIZE[kind] > 4:
             (place,) = struct.unpack_from(f"{order}I", data, place)
+        if place + count * FIELD_SIZE[kind] > len(data):
+            raise ValueError("a field is beyond the file")
         fields[tag] = list(struct.unpack_from(f"{order}{count}{'BxHI'[kind - 1]}", data, place))
     return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
 
-def image_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
-    """The samples of one page by rows; the samples of a pixel stand together."""
+def image_of(data: bytes, fields: dict[int, list[int]], most: int) -> np.ndarray:
+    """The samples of one page by rows; the samples of a pixel stand together. What the page declares is checked before memory is taken."""
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height, depth = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
     if any(b != 8 for b in fields.get(BITS, [1])):
@@ -239,10 +242,17 @@ def image_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     tiled = TILE_OFFSETS in fields
     across, down = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (fields[TILE_OFFSETS], fields[TILE_BYTES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_BYTES])
-    out = np.zeros((math.ceil(height / down) * down, math.ceil(width / across) * across, depth), np.uint8)
-    places = [(r, c) for r in range(0, out.shape[0], down) for c in range(0, out.shape[1], across)]
-    if len(places) != len(offsets):
+    if not min(width, height, depth, across, down):
+        raise ValueError("an empty image")
+    if -(-height // down) * -(-width // across) != len(offsets) or len(offsets) != len(counts):
         raise ValueError("strips or tiles don't cover the image")
+    full = (-(-height // down) * down, -(-width // across) * across, depth)
+    if math.prod(full) > most:
+        raise ValueError("too many samples")
+    if any(across * min(down, full[0] if tiled else height) * depth > MOST_RATIO * max(1, count) for count in counts[: -1 if len(counts) > 1 else None]):
+        raise ValueError("more samples than the bytes can hold")
+    out = np.zeros(full, np.uint8)
+    places = [(r, c) for r in range(0, full[0], down) for c in range(0, full[1], across)]
     for (r, c), offset, count in zip(places, offsets, counts):
         rows = down if tiled else min(down, height - r)
         raw = expand(data[offset : offset + count], one(COMPRESSION, NONE), rows * across * depth)
@@ -259,11 +269,12 @@ def read_tiff(data: bytes) -> list[dict]:
         raise ValueError("not a TIFF file")
     order = "<" if data[:2] == b"II" else ">"
     (at,) = struct.unpack_from(f"{order}I", data, 4)
-    pages, seen = [], set()
+    pages, seen, left = [], set(), MOST_SAMPLES
     while at and at not in seen:
         seen.add(at)
         fields, at = directory(data, at, order)
-        image = image_of(data, fields)
+        image = image_of(data, fields, left)
+        left -= image.size
         depth = fields.get(SAMPLES, [1])[0]
         pages.append(
             {"page": len(pages), "width": image.shape[1] // depth, "height": image.shape[0], "compression": fields.get(COMPRESSION, [NONE])[0], "tiled": TILE_OFFSETS in fields, "predictor": fields.get(PREDICTOR, [1])[0]}
@@ -273,13 +284,13 @@ def read_tiff(data: bytes) -> list[dict]:
 
 
 def text_to_tiff(text: str | None) -> bytes:
-    """The text's bytes, filled with 255 to whole rows (at least one), as pages of at most PAGE_ROWS rows."""
+    """The text's bytes, filled with 255 to whole units (at least one), as pages of at most PAGE_ROWS rows."""
     raw = (text or "").encode()
-    rows = max(1, -(-len(raw) // ROW))
-    image = np.full(rows * ROW, 255, np.uint8)
-    image[: len(raw)] = np.frombuffer(raw, np.uint8)
-    image = image.reshape(rows, ROW)
-    return write_tiff([(image[r : r + PAGE_ROWS], *LAYOUTS[i % len(LAYOUTS)]) for i, r in enumerate(range(0, rows, PAGE_ROWS))])
+    payload = np.full(max(1, -(-len(raw) // UNIT)) * UNIT, 255, np.uint8)
+    payload[: len(raw)] = np.frombuffer(raw, np.uint8)
+    image, first = payload.reshape(-1, ROW), zlib.crc32(payload)
+    pages = [(image[r : r + PAGE_ROWS], *LAYOUTS[(first + i) % len(LAYOUTS)]) for i, r in enumerate(range(0, len(image), PAGE_ROWS))]
+    return write_tiff(pages, DOWN, ROW, "<" if first & (1 << 31) else ">")
 
 
 def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -297,7 +308,7 @@ def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if data:
                 try:
                     pages = read_tiff(data)
-                except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error, MemoryError, OverflowError) as e:
                     error = str(e) or type(e).__name__
             out.append({"error": error, "pages": pages})
         yield pa.array(out, kind)
@@ -317,7 +328,7 @@ def with_pages(df: DataFrame, media_col: str = "media", out: str = "tiff") -> Da
 
 def page_rows(df: DataFrame, media_col: str = "media", out: str = "page") -> DataFrame:
     """One row a page: df's columns without the media, and the page as a struct."""
-    hidden = "__tiff_pages"
+    hidden = common.free_name(df, "tiff_pages")
     read = with_pages(df, media_col, hidden).drop(media_col)
     return read.withColumn(out, F.explode(F.col(hidden)["pages"])).drop(hidden)
 
