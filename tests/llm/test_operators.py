@@ -130,7 +130,7 @@ def test_schedules_invert():
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    for knots in (*mixing.SCHEDULES.values(), ((0.0, 0.2), (0.3, 2.0), (1.0, 0.1))):
+    for knots in (*mixing.SCHEDULES, ((0.0, 0.2), (0.3, 2.0), (1.0, 0.1))):
         whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
         rows = spark.range(101).select((F.col("id") / 100).alias("share")).select("share", mixing.invert(F.col("share"), knots).alias("t")).collect()
         for r in rows:
@@ -150,9 +150,84 @@ def test_whole_documents(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 210
 
 
+def demand_position(at, knots):
+    """By bisection, the time at which this share of the schedule's integral is reached."""
+
+    def reached(x):
+        return sum((min(max(x, t), t2) - t) * (m + m + (m2 - m) / (t2 - t) * (min(max(x, t), t2) - t)) / 2 for (t, m), (t2, m2) in zip(knots, knots[1:]))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if reached(mid) < at * reached(1.0) else (lo, mid)
+    return lo
+
+
+@pytest.mark.parametrize("weights, own", [(mixing.WEIGHTS, None), ((3.0, 1.0), {"b": ((0.0, 0.1), (1.0, 3.0))})])
+def test_positions(spark, weights, own):
+    """Every pass that takes a document has its position: the demand's integral inverted at the document's middle in the supply."""
+    df = spark.createDataFrame([(i, "abc"[i % 5 % 3], 5 + i % 7, "x") for i in range(300)], "doc_id bigint, source string, size bigint, mix_key string")
+    got = mixing.mix(df, ["doc_id"], weights=weights, own_schedules=own, buckets=1).withColumn("place", F.xxhash64(F.lit(mixing.SEED), "doc_id")).collect()
+    schedules = {s: (own or {}).get(s, mixing.SCHEDULES[k % 3]) for k, s in enumerate("abc")}
+    for s in "abc":
+        mine, at = sorted((r for r in got if r.source == s), key=lambda r: r.place), 0
+        supply, goal = sum(r.size for r in mine), mine[0].target
+        for r in mine:
+            want = []
+            for k in range(2):
+                if at + k * supply < math.floor(goal):
+                    want.append(demand_position(min(1.0, (at + k * supply + r.size / 2) / goal), schedules[s]))
+            assert np.allclose(r.positions, want, atol=1e-9) and r.mix_key == "x"
+            at += r.size
+    assert sum(len(r.positions) for r in got) >= 300
+
+
 # 2
 
 
+def plain_language(text, profiles):
+    """Out-of-place distances by the definition."""
+    def grams(t):
+        count = collections.Counter()
+        for word in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            padded = f" {word} "
+            count.update(word)
+            count.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            count.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return count
+
+    def order(count):
+        code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], code(x[0])))[: language.RANKS]]
+
+    ranks = {lang: {g: i for i, g in enumerate(order(sum(map(grams, texts), collections.Counter())))} for lang, texts in profiles.items()}
+    mine = order(grams(text))
+    if not mine:
+        return "und", 0.0
+    away = {lang: sum(abs(r[g] - i) if g in r else language.RANKS for i, g in enumerate(mine)) for lang, r in ranks.items()}
+    best = min(sorted(away), key=away.__getitem__)
+    return best, round(1 - away[best] / (language.RANKS * len(mine)), 9)
+
+
+def test_language_by_definition(spark):
+    docs = documents(spark, SMALL)
+    learned = collections.defaultdict(list)
+    for i, t, lang, _ in docs:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None:
+            learned[lang].append(t)
+    assert max(map(len, learned.values())) < language.SAMPLE
+    got = {r[0]: r[1:] for r in run(spark, SMALL, "op2_", ["doc_id", "lang_pred", "score"])}
+    for i, t, _, _ in docs[::4]:
+        want = plain_language(t or "", learned)
+        assert got[i][0] == want[0] and math.isclose(got[i][1], want[1], abs_tol=1e-8)
+
+
+def test_language_of_repeated_ids(spark):
+    rows = [(1, f"the one and only number {i} of these", "en") for i in range(3000)] + [(None, f"le un et le seul numéro {i}", "fr") for i in range(20)] + [(2, "das ist der Text", "de")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.learn(docs).names == ["de", "en", "fr"]
+
+
 def test_language(spark, odd):
     got = {r[0]: r[1:] for r in run(spark, SMALL, "op2_", ["doc_id", "held_out", "lang_pred", "score"])}
     right = [got[i][1] == lang for i, _, lang, _ in documents(spark, SMALL) if got[i][0]]
@@ -324,12 +399,29 @@ def test_tiff_query(spark, sf_dir):
 def test_tiff_round_trip(compression, tiled, predictor):
     rng = np.random.default_rng(4)
     images = [rng.integers(0, hi, shape, dtype=np.uint8) for shape, hi in (((1, 1), 256), ((70, 133), 3), ((200, 64), 256), ((16, 500), 1))]
-    data = tiff.write_tiff([(i, compression, tiled, predictor) for i in images], 32)
+    data = tiff.write_tiff([(i, compression, tiled, predictor) for i in images], 32, 48)
     pages = tiff.read_tiff(data)
     assert [p["samples"] for p in pages] == [i.tobytes() for i in images]
     assert [(p["height"], p["width"], p["compression"], p["tiled"]) for p in pages] == [(*i.shape, compression, tiled) for i in images]
 
 
+def test_media_columns(spark, sf_dir):
+    """The query's media are those of text_to_tiff, and together use all layouts; its features follow from the payload's pages."""
+    got = collections.Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in catalog.queries()["op4_tiff"](spark, sf_dir).collect())
+    want, layouts, orders = collections.Counter(), set(), set()
+    for i, t, _, _ in documents(spark, sf_dir):
+        media, raw = tiff.text_to_tiff(t), (t or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        pages = [payload[k : k + 48 * 48] for k in range(0, len(payload), 48 * 48)]
+        feature = ";".join(f"48x{len(p) // 48}:{len(set(p))}:{sum(p) / len(p):.6f}" for p in pages)
+        want[i, len(media), hashlib.sha256(media).hexdigest(), feature] += 1
+        read = tiff.read_tiff(media)
+        assert b"".join(p["samples"] for p in read) == payload
+        layouts |= {(p["compression"], p["tiled"], p["predictor"]) for p in read}
+        orders.add(media[:2])
+    assert got == want and layouts == set(tiff.LAYOUTS) and orders == {b"II", b"MM"}
+
+
 def test_codes_round_trip():
     rng = random.Random(5)
     for n in (0, 1, 2, 300, 5000, 70000):
@@ -347,9 +439,11 @@ def test_big_endian_and_damage(spark):
     data = b"MM\0*" + struct.pack(">I", 20) + samples + ifd + struct.pack(">I", 20)  # the chain points back to its start
     (page,) = tiff.read_tiff(data)
     assert page["samples"] == samples
-    df = spark.createDataFrame([(1, data), (2, data[:30]), (3, None), (4, b""), (5, b"plain")], "id int, media binary")
+    tags[256], tags[257] = (4, 1 << 31), (4, 1 << 30)  # far more samples than bytes
+    huge = data[:20] + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, (k, v) in sorted(tags.items())) + bytes(4)
+    df = spark.createDataFrame([(1, data), (2, data[:30]), (3, None), (4, b""), (5, b"plain"), (6, huge)], "id int, media binary")
     got = {r.id: (r.tiff.error is None, len(r.tiff.pages)) for r in tiff.with_pages(df).collect()}
-    assert got == {1: (True, 1), 2: (False, 0), 3: (True, 0), 4: (True, 0), 5: (False, 0)}
+    assert got == {1: (True, 1), 2: (False, 0), 3: (True, 0), 4: (True, 0), 5: (False, 0), 6: (False, 0)}
     assert [(r.id, r.page.page) for r in tiff.page_rows(df).collect()] == [(1, 0)]
 
 
@@ -571,6 +665,25 @@ def test_bad_host_is_rejected(spark):
     assert all(kept[i] for i in range(360)) and not any(kept[1000 + i] for i in range(40)) and not kept[2000] and kept[2001]
 
 
+def test_bad_hosts_of_usual_size(spark):
+    """Few bad hosts among good ones fall, the good ones stay, and columns with the operator's own names are kept."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(h * 100 + i, bad if i < (40 if h in (3, 17) else 7) else good, f"h{h}", "x", "y", "z") for h in range(30) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, host_kept string, words string, host string")
+    featured = quality.with_features(docs)
+    got = quality.judge(featured, quality.host_verdicts(featured)).collect()
+    assert {r.source for r in got if not r.base_failed and not r.kept} == {"h3", "h17"} == {r.source for r in got if not any(x.kept for x in got if x.source == r.source)}
+    assert len(got) == len(rows) and all((r.host_kept, r.words, r.host) == ("x", "y", "z") for r in got)
+
+
+def test_equal_hosts_stay(spark):
+    rows = [(i, None, 4 if i % 10 == 0 else 60) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_words bigint").selectExpr("*", "0L AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words")
+    docs = docs.withColumn("source", F.concat(F.lit("h"), (F.col("doc_id") % 7).cast("string")))
+    got = quality.judge(docs, quality.host_verdicts(docs)).collect()
+    assert all(r.kept != r.base_failed for r in got)
+
+
 # 9 and 10
 
 
@@ -649,7 +762,78 @@ def test_fields(spark, tokenizer):
     assert math.isclose(sum(s.n_tokens for s in rows[0].sections), len(tokenizer[2].encode_ordinary("Titleand text")))
 
 
+def test_sections_by_definition(spark, tokenizer):
+    """Each token of the whole document goes to the line of its first byte."""
+    got = collections.defaultdict(list)
+    for r in catalog.queries()["op10_token_counts"](spark, SMALL).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.start, r.end, r.n_tokens, r.n_crossing))
+    for i, t, _, _ in documents(spark, SMALL):
+        lines = (t or "").splitlines(keepends=True) if t and not set(t) & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else re.findall(r"[^\n]*\n|[^\n]+", t or "")
+        ends = np.cumsum([len(x.encode()) for x in lines or [""]])
+        tokens, crossing, at = np.zeros(len(ends), int), np.zeros(len(ends), int), 0
+        for token in tokenizer[2].encode_ordinary(t or ""):
+            n = len(tokenizer[2].decode_single_token_bytes(token))
+            first, last = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + n - 1, "right"))
+            tokens[first] += 1
+            if last > first:
+                crossing[first : last + 1] += 1
+            at += n
+        chars = np.cumsum([len(x) for x in lines or [""]])
+        assert got[i] == list(zip([0, *chars[:-1].tolist()], chars.tolist(), tokens.tolist(), crossing.tolist()))
+
+
+def test_long_words(spark, tokenizer):
+    rng = random.Random(9)
+    words = ["x" * 65, "b" + "x" * 300, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "https://" + "".join(rng.choice("aZ09/-_%") for _ in range(900)), "日本語のテキスト" * 30]
+    coder = bpe.Coder(spark, *tokenizer[:2])
+    df = spark.createDataFrame([(w, "own") for w in words], "text string, constants string")
+    for r in coder.with_ids(df, "text", "ids").collect():
+        assert r.ids == tokenizer[2].encode_ordinary(r.text) and r.constants == "own"
+
+
+def test_trees():
+    """The number of trees follows from the recall; more is wanted, or deeper, or less alike, and there are more."""
+    assert neardup.trees_for(0.999, 0.85) > neardup.trees_for(0.99, 0.85) >= neardup.trees_for(0.99, 0.95)
+    assert neardup.trees_for(0.999, 0.85, 12) > neardup.trees_for(0.999, 0.85, 4)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs just above the similarity, on the sketches alone, meet in some node in at least the share of the target recall, about."""
+    rng = np.random.default_rng(3)
+    shingler, texts = neardup.Shingler(3), []
+    for _ in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 30, 400)]
+        v = list(w)
+        for k in range(20, 400, 50):  # 8 words of 400: 24 of 398 shingles differ
+            v[k] = "other"
+        texts += [" ".join(w), " ".join(v)]
+    sets = [shingler.shingles(t) for t in texts]
+    met = [100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2])]
+    assert all(met)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.component_id for r in neardup.near_duplicates(df, words=3, percent=85).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 148
+
+
+def test_deduplicate_keeps_clashing_columns(spark):
+    rows = [(1, BASE, "a", "b", "c"), (2, BASE, "d", "e", "f"), (3, None, "g", "h", "i"), (1, BASE, "a", "b", "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __fp string, fp string, row string")
+    got = neardup.deduplicate(df).collect()
+    assert sorted(map(tuple, got)) == sorted({rows[0], rows[2]}) and got[0].__fields__ == df.columns
+
+
+def test_folder_without_checkpoints():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/w/"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    assert common.shared_folder(Session()) == "file:/w/cuts"
+
+
 def test_cut_uses_the_shared_folder(spark):
     df = common.cut(spark.range(3))
-    folder = common.shared_folder(spark).removeprefix("file://")
+    folder = common.shared_folder(spark).removeprefix("file:").replace("//", "/")
     assert df.count() == 3 and all(folder in f for f in df.inputFiles())

@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from capwindow.llm import neardup
+from capwindow.llm import bpe, mixing, neardup
 from tests.llm.test_operators import BASE, SCHEMA, WORD, below_with_pairs, classes, documents, long_text, rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,17 +69,41 @@ def test_mixing(stages):
     whole = collections.Counter((r.doc_id, r.text) for r in before)
     taken = collections.Counter((r.doc_id, r.text) for r in after)
     assert set(taken) <= set(whole) and all(taken[k] <= 2 * whole[k] for k in taken)
+    size = lambda r: len(WORD.findall(r.text or ""))
+    sums = collections.Counter()
+    for r in before:
+        sums[r.source] += size(r)
+    names = sorted(sums, key=lambda s: (s is None, s or ""))
+    level = sums.total() * 1.5  # the common level of targets, by bisection
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    lo, hi = 0.0, level + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * sums[s], weight[s] * mid) for s in names) < level else (lo, mid)
+    largest = max(map(size, before))
+    for s in names:  # whole documents, so the target is met but for one
+        assert abs(sum(size(r) for r in after if r.source == s) - min(2 * sums[s], weight[s] * lo)) <= largest
 
 
 def test_tokens(stages):
+    """Each row's tokens are those of the tokenizer library, and places follow the order in which the mixing stage wrote its rows."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
     before, after, _ = stages[4]
-    assert len(before) == len(after)
-    assert {r.doc_id for r in before} == {r.doc_id for r in after}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = []
+    for place, r in enumerate(before, 1):
+        ids = coder.encode_ordinary(r.text or "")
+        want.append((place, r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted((r.place, r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after) == want
 
 
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
-    assert got.count() > 0 and set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    assert got.count() > 0 and set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "place"}
     assert {r.doc_id for r in got.collect()} <= {d[0] for d in documents(spark, SMALL)}
 
 
