@@ -21,5 +21,5 @@ def queries():
 
 
 def oracle_sql():
-    """Positions of matches, stored media, hashes of sketches and merges are beyond SQL; tests compare these with brute force."""
-    return {"op7_licenses": licenses.oracle(), "op8_host_quality": quality.ORACLE}
+    """Positions of matches, stored media and merges are beyond SQL; tests compare these with brute force."""
+    return {"op5_near_duplicates": neardup.ORACLE, "op7_licenses": licenses.oracle(), "op8_host_quality": quality.ORACLE}

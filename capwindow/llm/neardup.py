@@ -5,7 +5,12 @@ Each tree branches a set along few randomly chosen minwise tokens: a path's hash
 or at times two, so that a pair at the wanted similarity keeps one common branch on average. Sets that meet in a node go on
 together; nodes that are small are compared exhaustively on their sketches, larger ones branch on. The first levels, and
 later ones of nodes too large for a task, branch in Spark; a node that fits in a task branches on inside it. Independent trees are repeated to reach
-the target recall. Every pair that the sketches don't rule out is confirmed on the full sets; groups of such sets, not pairs, pass between the steps.
+the target recall, a parameter: their number follows from the share of trees in which a pair at the wanted similarity survives the planned
+levels. Trees find many groups again; one node of each small group goes on, told apart by the hashes of its members.
+
+Every pair that the sketches don't rule out is confirmed on the full sets in the node's own task, unless it is connected there already; only links that
+connect leave a task. Sets travel to nodes as their compressed texts, which are smaller. A broadcast bitmap of stated size tells which documents'
+texts are needed; others stay where they are. Nodes are bounded by their sets and by their shingles.
 Classes are the connected components of the confirmed links, found by alternating stars over distributed edges.
 
 At the deepest level a node that is still large holds sets that are nearly all alike. Groups that share pivots connect most of what is
@@ -13,13 +18,15 @@ linked there at little cost. What they leave apart is compared exhaustively on t
 make one cluster, and every two parts of a cluster meet, unless both lie in one component already.
 
 A null text, or one without words, has an empty set: it is alone in its class. A null id is no class's id while there is another; equal rows get equal results.
-An empty table gives an empty result. Only the id and text columns are read; ids need not be unique.
+An empty table gives an empty result. Only the id and text columns are read, so other columns' names don't matter; ids need not be unique.
+Very long texts count whole: groups whose sets together are large are dealt out by parts, and a set is never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +36,18 @@ from pyspark.sql import functions as F
 
 from capwindow.llm import common
 
-#: Coordinates of a sketch, trees, and levels that every set branches before nodes are looked at.
-WIDTH, TREES, FIRST_LEVELS = 128, 12, 2
+#: Coordinates of a sketch, levels that every set branches before nodes are looked at, and those that the number of trees is planned for.
+WIDTH, FIRST_LEVELS, PLANNED_LEVELS = 128, 4, 8
+#: The share of pairs at the wanted similarity that some tree keeps together over the planned levels.
+RECALL = 0.999
 #: Nodes up to LEAF sets are compared exhaustively; nodes up to NODE sets are handled in one task.
 LEAF, NODE, DEEPEST, PIVOTS = 128, 2048, 18, 16
-#: Shingles of a cluster's part, about; a part has about NODE / 2 sets at most.
-PART_SHINGLES = 1 << 21
+#: Shingles of a node in one task, and of a cluster's part, about; a part has about NODE / 2 sets at most.
+NODE_SHINGLES, PART_SHINGLES = 1 << 22, 1 << 21
 #: Pairs whose sketches agree this many standard deviations below the wanted similarity are still confirmed.
 DEVIATIONS = 4.5
+#: Bits of the bitmap of needed documents, 4 MB; where it fills up, more full sets than needed are made.
+FILTER_BITS = 1 << 25
 
 _U64 = np.uint64
 _M1, _M2 = _U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB)  # of the public splitmix64 finalizer
@@ -96,14 +107,14 @@ class Shingler:
         return np.unique(out)
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
-        """The minwise token of each coordinate, in 16 bits."""
+        """The minwise token of each coordinate, in 8 bits."""
         low = (shingles >> _U64(32)).astype(np.uint32)
         least = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
         with np.errstate(over="ignore"):
             for at in range(0, len(low), 512):
                 part = low[at : at + 512, None] * self.factors + self.shifts
                 least = np.minimum(least, part.min(axis=0))
-        return (mixed(least.astype(np.uint64)) >> _U64(48)).astype(np.uint16)
+        return (mixed(least.astype(np.uint64)) >> _U64(56)).astype(np.uint8)
 
 
 def key_of(shingles: np.ndarray) -> bytes:
@@ -131,7 +142,16 @@ def children(path: np.ndarray, sketches: np.ndarray, second: float) -> tuple[np.
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def trees_for(recall: float, similarity: float, levels: int = PLANNED_LEVELS) -> int:
+    """Trees such that a pair at this similarity shares a node at the last level of one of them with this probability. A path goes on along one
+    coordinate, or at times two, each of which keeps the pair with the similarity as probability: a branching process."""
+    second, lost = 1 / similarity - 1, 0.0
+    for _ in range(levels):
+        lost = (1 - similarity * (1 - lost)) * (1 - second * similarity * (1 - lost))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(lost))) if lost > 0 else 1
 
 
 def linked_groups(n: int, a: list[int], b: list[int]) -> Iterator[list[int]]:
@@ -268,79 +288,90 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, words: int, marks: dict[s
     return read.select("id", *marks, F.col("s.n").alias("n_shingles"), F.col("s.key").alias("set_key"), F.col("s.sketch").alias("sketch"))
 
 
-def branch(nodes: DataFrame, second: float, levels: int, roots: bool) -> DataFrame:
-    """(node, set_key) one or more levels below: from the roots of all trees, or from each row's node."""
+def branch(nodes: DataFrame, second: float, levels: int, trees: int = 0) -> DataFrame:
+    """(node, set_key, n_shingles) one or more levels below: from the roots of so many trees, or from each row's node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, sketches = batch.column("set_key"), sketches_of(batch.column("sketch"))
-            if roots:
-                path = np.repeat(mixed(np.arange(1, TREES + 1).astype(np.uint64)), len(keys))
-                row = np.tile(np.arange(len(keys)), TREES)
+            if trees:
+                path = np.repeat(mixed(np.arange(1, trees + 1).astype(np.uint64)), len(keys))
+                row = np.tile(np.arange(len(keys)), trees)
             else:
                 path, row = batch.column("node").to_numpy().view(np.uint64), np.arange(len(keys))
             for _ in range(levels):
                 at, path = children(path, sketches[row], second)
                 row = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), keys.take(pa.array(row))], names=["node", "set_key"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), keys.take(at), batch.column("n_shingles").take(at)], names=["node", "set_key", "n_shingles"])
 
-    return nodes.mapInArrow(run, "node bigint, set_key binary")
+    return nodes.mapInArrow(run, "node bigint, set_key binary, n_shingles bigint")
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """(near, set_key, dense): groups such that each pair that reaches the similarity is in some group with the target recall. A group
-    stands for its pairs, so its rows grow with its members. Those that are not dense have at most LEAF sets; dense ones are the nodes that
-    stay large at the deepest level, whose pairs of pivots and others are in groups that are not dense, too."""
+def small_nodes(reps: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """(node, level, set_key) of nodes that fit in a task, such that each pair that reaches the similarity meets in some node with the target recall;
+    and the (near, set_key) of nodes that stay large at the deepest level, which are also among the first in parts that share a pivot."""
     second = 1 / similarity - 1
-    agree = math.floor(WIDTH * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / WIDTH)))
-    rows = common.cut(branch(reps.select("set_key", "sketch"), second, FIRST_LEVELS, True))
+    rows = common.cut(branch(reps.select("set_key", "n_shingles", "sketch"), second, FIRST_LEVELS, trees_for(recall, similarity)))
     level, ready, dense = FIRST_LEVELS, None, None
+    sums = F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"), *(F.bit_xor(F.xxhash64(F.lit(k), "set_key")).alias(f"members{k}") for k in (1, 2))
+    fits = (F.col("count") <= NODE) & (F.col("shingles") <= NODE_SHINGLES)
     while True:
-        sizes = rows.groupBy("node").count().where(F.col("count") > 1)
-        sizes = common.cut(sizes)
-        fits = rows.join(sizes.where(F.col("count") <= NODE).select("node"), "node", "left_semi").withColumn("level", F.lit(level))
-        ready = fits if ready is None else ready.unionByName(fits)
-        large = sizes.where(F.col("count") > NODE)
-        if large.isEmpty():
-            break
-        over = rows.join(large, "node")
+        sizes, seen = common.cut_seen(rows.groupBy("node").agg(*sums).where(F.col("count") > 1), F.count_if(~fits).alias("large"))
+        # Small nodes with the same members are compared once; larger ones branch on, each in its own way.
+        once = sizes.where(fits & (F.col("count") <= LEAF)).groupBy("count", "members1", "members2").agg(F.min("node").alias("node")).select("node")
+        nodes = once.unionByName(sizes.where(fits & (F.col("count") > LEAF)).select("node"))
+        found = rows.join(nodes.hint("shuffle_hash"), "node", "left_semi").select("node", F.lit(level).alias("level"), "set_key")
+        ready = found if ready is None else ready.unionByName(found)
+        if not seen["large"]:
+            return ready, dense
+        over = rows.join(sizes.where(~fits).select("node", F.greatest(F.col("count") / (NODE // 2), F.col("shingles") / (NODE_SHINGLES // 2)).cast("long").alias("parts")), "node")
         if level >= DEEPEST:  # nearly all alike: groups of a task's size, which connect most
-            dense = over.select(F.col("node").alias("near"), "set_key", F.lit(True).alias("dense"))
-            part = F.pmod(F.xxhash64("set_key"), F.floor(F.col("count") / (NODE // 2)) + 1)
-            ready = ready.unionByName(over.select(F.xxhash64("node", part).alias("node"), "set_key", F.lit(level).alias("level")))
-            pivots = over.groupBy("node").agg(F.min("set_key").alias("set_key"), F.max("count").alias("count"))
-            spread = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("count") / (NODE // 2))))
-            ready = ready.unionByName(pivots.select("node", "set_key", spread.alias("part")).select(F.xxhash64("node", "part").alias("node"), "set_key", F.lit(level).alias("level")))
-            break
-        rows = common.cut(branch(over.select("node", "set_key").join(reps.select("set_key", "sketch"), "set_key"), second, 1, False))
+            dense = over.select(F.col("node").alias("near"), "set_key")
+            part = F.pmod(F.xxhash64("set_key"), F.col("parts") + 1)
+            ready = ready.unionByName(over.select(F.xxhash64("node", part).alias("node"), F.lit(level).alias("level"), "set_key"))
+            pivots = over.groupBy("node").agg(F.min("set_key").alias("set_key"), F.max("parts").alias("parts"))
+            spread = pivots.select("node", "set_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))).alias("part"))
+            return ready.unionByName(spread.select(F.xxhash64("node", "part").alias("node"), F.lit(level).alias("level"), "set_key")), dense
+        rows = common.cut(branch(over.select("node", "set_key", "n_shingles").join(reps.select("set_key", "sketch"), "set_key"), second, 1))
         level += 1
 
-    def named(found: list[bytes], is_dense: bool) -> pa.RecordBatch:
-        """Trees that find the same group name it alike."""
-        name = int.from_bytes(hashlib.blake2b(b"".join(found), digest_size=8).digest(), "big", signed=True)
-        columns = [pa.array([name] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array([is_dense] * len(found))]
-        return pa.RecordBatch.from_arrays(columns, names=["near", "set_key", "dense"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_node(batches):
-            if group.num_rows < 2:
+def compared(nodes: DataFrame, held: DataFrame, similarity: float, words: int, percent: int) -> DataFrame:
+    """(a, b, near) of all nodes: links that connect what is linked, with near null; and, with b null, the members a of groups near that
+    stayed large inside a task. held has (set_key, sketch, packed)."""
+    second = 1 / similarity - 1
+    agree = math.floor(WIDTH * (similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / WIDTH)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for node in by_node(batches):
+            if node.num_rows < 2:
                 continue
-            keys, sketches = group.column("set_key").to_pylist(), sketches_of(group.column("sketch"))
-            path, level = int(group.column("node")[0].as_py()) & 0xFFFFFFFFFFFFFFFF, group.column("level")[0].as_py()
+            keys, packed, sketches = node.column("set_key").to_pylist(), node.column("packed").to_pylist(), sketches_of(node.column("sketch"))
+            path, level = int(node.column("node")[0].as_py()) & 0xFFFFFFFFFFFFFFFF, node.column("level")[0].as_py()
+            part, sets, a, b, near = np.arange(len(keys)), {}, [], [], []
             for members in leaves(path, sketches, second, level):
                 large = len(members) > LEAF
                 if large:
-                    yield named(sorted({keys[i] for i in members}), True)
+                    name = int.from_bytes(hashlib.blake2b(b"".join(sorted(keys[i] for i in members)), digest_size=8).digest(), "big", signed=True)
+                    a, b, near = a + [keys[i] for i in members], b + [None] * len(members), near + [name] * len(members)
                 for some in pivot_groups(members) if large else (members,):
-                    for near in similar_groups(some, sketches, agree):
-                        yield named(sorted({keys[i] for i in near}), False)
+                    for group in similar_groups(some, sketches, agree):
+                        if (part[group] == part[group[0]]).all():
+                            continue
+                        for i in group:
+                            if i not in sets:
+                                sets[i] = shingler.shingles(zlib.decompress(packed[i]).decode())
+                        for x, y in connecting([sets[i] for i in group], part[group].tolist(), percent):
+                            a, b, near = [*a, keys[group[x]]], [*b, keys[group[y]]], [*near, None]
+                            part[part == part[group[y]]] = part[group[x]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near, pa.int64())], names=["a", "b", "near"])
 
-    placed = ready.join(reps.select("set_key", "sketch"), "set_key").select("node", "level", "set_key", "sketch")
-    ordered = placed.repartition("node").sortWithinPartitions("node", "set_key")
-    found = ordered.mapInArrow(compared, "near bigint, set_key binary, dense boolean")
-    return (found if dense is None else found.unionByName(dense)).distinct()
+    placed = nodes.join(held, "set_key").select("node", "level", "set_key", "sketch", "packed")
+    return placed.repartition("node").sortWithinPartitions("node", "set_key").mapInArrow(run, "a binary, b binary, near bigint").distinct()
 
 
 def dense_parts(dense: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
@@ -368,34 +399,47 @@ def dense_parts(dense: DataFrame, reps: DataFrame, known: DataFrame) -> DataFram
     return dealt.select("cluster", "root", "set_key", F.struct("own", "part").alias("p")).join(met, ["cluster", "p"]).select("near", "set_key", "root")
 
 
-def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(a, b): pairs that connect what the links of each group connect; links are pairs whose full sets reach the similarity. If groups
-    have the column root, sets with the same root are connected already."""
-    needed = reps.join(groups.select("set_key").distinct(), "set_key", "left_semi").select("set_key", F.col("rep").alias("__id"))
+def needed_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The docs (id, text) whose ids are, or whose hashes agree with, some of ids. A bitmap of FILTER_BITS bits goes to all tasks."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
+        return df.withColumns({"bucket": F.bitmap_bucket_number(bit), "bit": F.bitmap_bit_position(bit)})
+
+    bits = placed(ids).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = placed(docs).join(F.broadcast(bits), "bucket")  # FILTER_BITS / 8 bytes at most
+    return held.where("shiftright(ascii(decode(substring(bits, int(bit div 8) + 1, 1), 'ISO-8859-1')), int(bit % 8)) & 1 = 1").select("id", "text")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def full_texts(nodes: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(set_key, sketch, packed) of the nodes' sets: the whole text of each, compressed, from docs (id, text)."""
+    needed = common.cut(reps.join(nodes.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "rep", "sketch"))
+    ids = needed.select(F.col("rep").alias("id"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            keys, sets = [], []
-            for expected, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingler.shingles(text or "")
-                if key_of(s) == expected:  # ids need not be unique
-                    keys.append(expected)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "full"])
-
-    texts = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text"))
-    # The side of ids is hashed, so that texts pass by and are not sorted.
-    read = texts.join(needed.hint("shuffle_hash"), F.col("__id2").eqNullSafe(F.col("__id"))).select("set_key", "__text")
+            texts = batch.column("text").to_pylist()
+            keys = [key_of(shingler.shingles(text or "")) for text in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([zlib.compress((text or "").encode(), 1) for text in texts], pa.binary())], names=["set_key", "packed"])
+
+    made = needed_documents(docs, ids).mapInArrow(packed, "set_key binary, packed binary")
+    return made.groupBy("set_key").agg(F.any_value("packed").alias("packed")).join(needed.select("set_key", "sketch"), "set_key")
+
+
+def confirmed(groups: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): pairs that connect what the links of each group connect; links are pairs whose full sets reach the similarity. If groups
+    have the column root, sets with the same root are connected already."""
     root = F.col("root") if "root" in groups.columns else F.col("set_key")
-    members = groups.join(read.mapInArrow(full, "set_key binary, full binary"), "set_key").select("near", "set_key", "full", root.alias("root"))
+    members = groups.join(texts.drop("sketch"), "set_key").select("near", "set_key", "packed", root.alias("root"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for group in by_node(batches):
-            sets = dict(zip(group.column("set_key").to_pylist(), group.column("full").to_pylist()))
-            if len(sets) < 2:
+            texts = dict(zip(group.column("set_key").to_pylist(), group.column("packed").to_pylist()))
+            if len(texts) < 2:
                 continue
-            keys, arrays = list(sets), [np.frombuffer(s, np.uint64) for s in sets.values()]
+            keys, arrays = list(texts), [shingler.shingles(zlib.decompress(t).decode()) for t in texts.values()]
             at = dict(zip(group.column("set_key").to_pylist(), group.column("root").to_pylist()))
             links = [(keys[x], keys[y]) for x, y in connecting(arrays, [at[k] for k in keys], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
@@ -404,40 +448,45 @@ def confirmed(groups: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(set_key, root) of every key in a link: the smallest key that it is connected with, by alternating large and small stars."""
-    edges, before = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
-    while True:
+    """(set_key, root) of every key in a link: the smallest key that it is connected with, by alternating large and small stars.
+    Minima are taken before the shuffle; a hub's rows meet in joins only, which Spark splits where they are skewed."""
+    seen = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    edges, now = common.cut_seen(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), *seen)
+    before = None
+    while before != now:
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+        large = common.cut(large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         pairs = small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = common.cut(pairs.where(F.col("u") != F.col("v")).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (now["n"], now["h"]):
-            return edges.select(F.col("u").alias("set_key"), F.col("v").alias("root"))
-        before = (now["n"], now["h"])
+        edges, now = common.cut_seen(pairs.where(F.col("u") != F.col("v")).distinct(), *seen)
+    return edges.select(F.col("u").alias("set_key"), F.col("v").alias("root"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, marks: dict[str, Column] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, marks: dict[str, Column] | None = None, recall: float = RECALL
 ) -> DataFrame:
     """(id, marks, n_shingles, class_key, component_id) of each document; component_id is the smallest id of its class, class_key
     tells classes apart and is null for empty sets. marks are columns that tell documents with the same id apart."""
     marks = marks or {}
     made = common.cut(sets_of(docs, id_col, text_col, words, marks))
     full = made.where(F.col("set_key").isNotNull())
-    reps = common.cut(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")))
-    groups = common.cut(candidates(reps, percent / 100))
-    links = common.cut(confirmed(groups.where(~F.col("dense")).select("near", "set_key"), reps, docs, id_col, text_col, words, percent))
-    dense = groups.where("dense").select("near", "set_key")
-    if not dense.isEmpty():
-        rest = common.cut(dense_parts(dense, reps, components(links)))
-        if not rest.isEmpty():
-            links = links.unionByName(common.cut(confirmed(rest, reps, docs, id_col, text_col, words, percent)))
-    roots = reps.select("set_key", "rep").join(components(links), "set_key", "left").withColumn("class_key", F.coalesce("root", "set_key"))
+    sums = F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")
+    reps = common.cut(full.groupBy("set_key").agg(*sums))
+    nodes, dense = small_nodes(reps, percent / 100, recall)
+    nodes = common.cut(nodes)
+    texts = common.cut(full_texts(nodes if dense is None else nodes.select("set_key").unionByName(dense.select("set_key")), reps, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words))
+    found, seen = common.cut_seen(compared(nodes, texts, percent / 100, words, percent), F.count("near").alias("dense"))
+    links = found.where(F.col("near").isNull()).select("a", "b")
+    known = components(links)
+    if seen["dense"] or dense is not None:
+        inner = found.where(F.col("near").isNotNull()).select("near", F.col("a").alias("set_key"))
+        rest, pairs = common.cut_seen(dense_parts(inner if dense is None else inner.unionByName(dense), reps, known), F.count("*").alias("n"))
+        if pairs["n"]:
+            late, more = common.cut_seen(confirmed(rest, texts, words, percent), F.count("*").alias("n"))
+            known = components(links.unionByName(late)) if more["n"] else known
+    roots = reps.select("set_key", "rep").join(known, "set_key", "left").withColumn("class_key", F.coalesce("root", "set_key"))
     roots = common.cut(roots.drop("root"))
     ids = roots.groupBy("class_key").agg(F.min("rep").alias("component_id"))
     classes = roots.join(ids, "class_key").select("set_key", "class_key", "component_id")
@@ -447,29 +496,45 @@ def near_duplicates(
     return full.join(classes, "set_key").select(*out).unionByName(alone.select(*out))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """docs with one document of each class: the one with the smallest id, ties by its text's hash; of equal rows one
-    stays. Documents with an empty set all stay."""
-    marks = {"__fp": F.xxhash64(text_col), "__fp2": F.xxhash64(F.lit(7), text_col)}
-    found = near_duplicates(docs, id_col, text_col, words, percent, marks).where(F.col("class_key").isNotNull())
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("__id"), *marks)).alias("first")
-    chosen = found.groupBy("class_key").agg(first).select("first.__id", *(F.col(f"first.{m}").alias(f"{m}b") for m in marks))
-    has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.where(has_word).withColumns(marks)
+    stays. Documents with an empty set all stay. All columns are kept, whatever their names."""
+    marks = {"fp": F.xxhash64(text_col), "fp2": F.xxhash64(F.lit(7), text_col)}
+    found = near_duplicates(docs, id_col, text_col, words, percent, marks, recall).where(F.col("class_key").isNotNull())
+    chosen = found.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *marks)).alias("first")).select("first.id", *(f"first.{m}" for m in marks))
+    # Rows travel as one struct, so that no name of theirs meets one of these.
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *(c.alias(m) for m, c in marks.items()), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("has_word"))
 
-    def same(other: DataFrame) -> Column:
-        return (F.col("__fp") == other["__fpb"]) & (F.col("__fp2") == other["__fp2b"]) & F.col(id_col).eqNullSafe(other["__id"])
+    def same(one: DataFrame, other: DataFrame) -> Column:
+        return (one["fp"] == other["fp"]) & (one["fp2"] == other["fp2"]) & one["id"].eqNullSafe(other["id"])
 
     # Rows that repeat in id and text are few; only these are put in order to keep one. All others pass by a hashed side of ids.
-    repeated = found.groupBy("id", *marks).count().where(F.col("count") > 1).select(F.col("id").alias("__rid"), *(F.col(m).alias(f"{m}r") for m in marks))
-    twice = (F.col("__fpb") == F.col("__fpr")) & (F.col("__fp2b") == F.col("__fp2r")) & F.col("__id").eqNullSafe(F.col("__rid"))
-    once, more = common.cut(chosen.join(repeated, twice, "left_anti")), common.cut(chosen.join(repeated, twice, "left_semi"))
-    several = marked.join(more, same(more), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__fp", "__fp2", id_col).orderBy(F.lit(1))))
-    kept = marked.join(once.hint("shuffle_hash"), same(once), "left_semi").select(docs.columns)
-    return kept.unionByName(several.where(F.col("__n") == 1).select(docs.columns)).unionByName(docs.where(~has_word))
+    repeated = found.groupBy("id", *marks).count().where(F.col("count") > 1)
+    once, more = common.cut(chosen.join(repeated, same(chosen, repeated), "left_anti")), common.cut(chosen.join(repeated, same(chosen, repeated), "left_semi"))
+    worded = marked.where("has_word")
+    several = worded.join(more, same(worded, more), "left_semi").groupBy("id", *marks).agg(F.any_value("row").alias("row"))
+    kept = worded.join(once.hint("shuffle_hash"), same(worded, once), "left_semi").select("row.*")
+    return kept.unionByName(several.select("row.*")).unionByName(marked.where(~F.col("has_word")).select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs, words=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The query in SQL: all pairs of sets that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+sets AS (SELECT min(r) AS k, s, min(doc_id) AS rep, len(s) AS n FROM (SELECT r, doc_id, list_sort(s) AS s FROM shingled WHERE len(s) > 0) GROUP BY s),
+items AS (SELECT k, unnest(s) AS x FROM sets),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS met FROM items a JOIN items b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k),
+links AS (SELECT a, b FROM shared JOIN sets sa ON sa.k = a JOIN sets sb ON sb.k = b WHERE 100 * met >= 85 * (sa.n + sb.n - met)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT k, k FROM sets UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+roots AS (SELECT a AS k, min(rep) AS component_id FROM reach JOIN sets ON sets.k = reach.b GROUP BY a)
+SELECT doc_id, CAST(len(shingled.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM shingled LEFT JOIN sets ON sets.s = list_sort(shingled.s) LEFT JOIN roots ON roots.k = sets.k
+"""
