@@ -34,6 +34,7 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 273, 277, 278,
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 CLEAR, END = 256, 257
+SINGLE = [*(bytes((i,)) for i in range(256)), b"", b""]
 #: What PackBits repeats.
 RUN = re.compile(rb"(.)\1{2,}", re.DOTALL)
 
@@ -84,15 +85,11 @@ def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, widened one code early. Strings are known by their prefix's code and last byte."""
     table: dict[int, int] = {}
     width, following, bits, n_bits, out = 9, 258, CLEAR, 9, []
-    prefix = -1
-    for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
+    prefix = data[0] if data else -1
+    for byte in data[1:]:
         longer = prefix << 8 | byte
-        known = table.get(longer)
-        if known is not None:
-            prefix = known
+        if longer in table:
+            prefix = table[longer]
             continue
         bits, n_bits, prefix = bits << width | prefix, n_bits + width, byte
         table[longer] = following
@@ -102,7 +99,7 @@ def lzw_encode(data: bytes) -> bytes:
             table, width, following = {}, 9, 258
         elif following == 1 << width:
             width += 1
-        if n_bits > 512:
+        if n_bits > 256:
             rest = n_bits & 7
             out.append((bits >> rest).to_bytes(n_bits >> 3, "big"))
             bits, n_bits = bits & ((1 << rest) - 1), rest
@@ -117,19 +114,18 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    single = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, out, total = single.copy(), [], 0
-    bits = n_bits = at = 0
-    width, last = 9, b""
-    while total < size:
-        while n_bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            bits, n_bits, at = (bits << 8) | data[at], n_bits + 8, at + 1
-        n_bits -= width
-        code = bits >> n_bits
-        bits &= (1 << n_bits) - 1
-        if code < 256 or code > END:
+    """Codes are unpacked by stretches of the same width, which the number of codes tells."""
+    bits, at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
+    table, out, total, width, last = SINGLE.copy(), [], 0, 9, b""
+    while total < size and at + width <= len(bits):
+        most = 4096 if width == 12 else (1 << width) - 1 - len(table) + (not last)
+        n = min((len(bits) - at) // width, most)
+        codes = (bits[at : at + n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int32))).tolist()
+        at += n * width
+        for k, code in enumerate(codes):
+            if code == CLEAR or code == END:
+                at -= (n - k - 1) * width
+                break
             if code < len(table):
                 piece = table[code]
             elif code == len(table) and last:
@@ -138,15 +134,17 @@ def lzw_decode(data: bytes, size: int) -> bytes:
                 raise ValueError("LZW code out of range")
             if last:
                 table.append(last + piece[:1])
-                if len(table) + 1 > (1 << width) - 1 and width < 12:
-                    width += 1
             out.append(piece)
             total += len(piece)
             last = piece
-        elif code == END:
-            break
+            if total >= size:
+                return b"".join(out)
         else:
-            table, width, last = single.copy(), 9, b""
+            width += width < 12 and len(table) == (1 << width) - 1
+            continue
+        if code == END:
+            break
+        table, width, last = SINGLE.copy(), 9, b""
     return b"".join(out)
 
 
