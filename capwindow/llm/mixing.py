@@ -7,7 +7,7 @@ its demand over training time is the integral of its weight schedule, scaled to
 document's place in the supply gives its training position in [0, 1]; passes after the first go on where the last ended.
 
 The running sizes come from two levels: sums of (source, bucket) give each bucket its start, and only a bucket's rows
-meet in one task. There are so many buckets as make some BUCKET_ROWS rows each if one source had all rows, so a hot source is spread over as many tasks.
+meet in one task. There are BUCKETS buckets a source, or as many as make some BUCKET_ROWS rows each if one source had all rows, so a hot source is spread over as many tasks.
 
 A null source is a source of its own, last in order. Null sizes count as 0; documents of size 0 are never taken and have
 no position. Ties in the hash are broken by the order columns, equal rows are interchangeable. An empty table gives an empty result. Texts aren't read here,
@@ -23,7 +23,7 @@ from capwindow.llm import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-BUCKET_ROWS = 1 << 16
+BUCKETS, BUCKET_ROWS = 512, 1 << 16
 SEED = 20
 #: Weight over training time: (time, multiplier) knots, linear between them, from 0 to 1. Sources take these in turn.
 FLAT = ((0.0, 1.0), (1.0, 1.0))
@@ -90,7 +90,7 @@ def mix(
     """df with each document's part in the mix. taken counts repeats; where a source's target ends inside a document,
     that document is taken in part, or with whole=True all or not at all, whichever is nearer. positions has one entry for each pass
     that takes any of it. The columns order_cols fix the order inside a source; they should tell rows apart."""
-    schedules, buckets = schedules or (FLAT,), buckets or max(1, -(-df.count() // BUCKET_ROWS))
+    schedules, buckets = schedules or (FLAT,), buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
     hidden = {k: common.free_name(df, f"mix_{k}") for k in ("size", "key", "place", "bucket", "start", "end", "supply", "rank", "goal")}
     of = {k: F.col(name) for k, name in hidden.items()}
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
