@@ -110,28 +110,51 @@ def get_many(probes: DataFrame, ops: DataFrame, now: int, until_lsn: int | None
     return probes.join(get_as_of(ops, now, until_lsn), list(KEY), "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
-def multi_delete(deletes: DataFrame, ops: DataFrame) -> DataFrame:
+def multi_delete(deletes: DataFrame, ops: DataFrame, fold_with=fold) -> DataFrame:
     """(lsn, response): results of multi-deletes whose pairs (lsn, pos, key, bs, t) come in argument order."""
     parts = deletes.select("lsn", "pos", F.lit("DEL").alias("op"), "key", "bs", "t", F.lit(True).alias("__asked"))
-    folded = fold(ops.withColumn("__asked", F.lit(False)).unionByName(parts)).where("__asked")
+    folded = fold_with(ops.withColumn("__asked", F.lit(False)).unionByName(parts)).where("__asked")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "result")))  # the pairs of one message
     return folded.groupBy("lsn").agg(F.concat(F.lit("ok|"), F.array_join(F.transform(ordered, lambda x: x["result"].cast("string")), ";")).alias("response"))
 
 
 def run_readings(ops: DataFrame) -> DataFrame:
-    """The results of a log in which GET stands among the changes: each reading sees the last change before it."""
-    changes = fold(ops.where(F.col("op") != "GET")).withColumn("__change", F.struct("op", "t", "result"))
-    readings = ops.where(F.col("op") == "GET").withColumns({"result": F.lit(None).cast("bigint"), "__change": F.lit(None).cast("struct<op:string,t:bigint,result:bigint>")})
-    w = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    seen = changes.unionByName(readings).withColumn("__seen", F.last("__change", ignorenulls=True).over(w))
-    value = F.when(F.col("__seen.op") == "INCR", current(F.col("__seen.result"), F.col("__seen.t"), F.col("bs"), F.col("t"))).otherwise(F.lit(0))
-    return seen.withColumn("result", F.coalesce("result", value).cast("bigint")).drop("__change", "__seen")
-
-
-def values_over_time(ops: DataFrame) -> DataFrame:
+    """The results of a log in which readings (GET, WATCH) stand among the changes: each sees the last change before it. One exchange on the
+    key. A column __seed, if there is one, gives what an INCR adds to the count in place of 1 where it isn't null."""
+    w = Window.partitionBy(*KEY).orderBy(*ORDER)
+    op, t, bs = F.col("op"), F.col("t"), F.col("bs")
+    change = op.isin("INCR", "DEL")
+    seen = ops.withColumn("__last", F.last(F.when(change, F.struct("op", "t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    last_op, last_t = F.col("__last.op"), F.col("__last.t")
+    seen = seen.withColumn("__reset", F.when(change, _resets(op, t, bs, last_op, last_t)).otherwise(0))
+    seen = seen.withColumn("__island", F.sum("__reset").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.when(change, F.coalesce("__seed", F.lit(1)) if "__seed" in ops.columns else F.lit(1)).otherwise(0)
+    count = F.sum(one).over(Window.partitionBy(*KEY, "__island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    read = F.when(last_op == "INCR", current(count, last_t, bs, t)).otherwise(F.lit(0))
+    result = F.when(change, _result(op, F.coalesce(last_op, F.lit("")), count)).otherwise(read)
+    return seen.withColumn("result", result.cast("bigint")).drop("__last", "__reset", "__island")
+
+
+def next_values(results: DataFrame) -> DataFrame:
+    """The rows of run_readings with seen, the first value after a WATCH that differs from its own: from 0 that of the next INCR; from more than
+    0 the next change's, unless the window lapses before it or there is none, when it is 0. Null while a watch from 0 has no INCR after it.
+    One backward pass over each key in the partitioning that run_readings leaves."""
+    w = Window.partitionBy(*KEY).orderBy(*(F.desc(c) for c in ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    forward = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    op, change = F.col("op"), F.col("op").isin("INCR", "DEL")
+    held = F.last(F.when(change, F.col("t")), ignorenulls=True).over(forward)
+    after = F.last(F.when(change, F.struct("op", "t", "result")), ignorenulls=True).over(w)
+    rows = results.withColumns({"__held": held, "__after": after, "__incr": F.last(F.when(op == "INCR", F.col("result")), ignorenulls=True).over(w)})
+    lapses = F.col("__after").isNull() | (F.col("__after.t") > windows.window_end(F.col("__held"), F.col("bs")))
+    changed = F.when(lapses | (F.col("__after.op") == "DEL"), F.lit(0).cast("bigint")).otherwise(F.col("__after.result"))
+    seen = F.when(op == "WATCH", F.when(F.col("result") > 0, changed).otherwise(F.col("__incr")))
+    return rows.withColumn("seen", seen).drop("__held", "__after", "__incr")
+
+
+def values_over_time(ops: DataFrame, fold_with=fold) -> DataFrame:
     """(key, bs, t, lsn, value): each counter's value from t on, with the drop to 0 when a window lapses before the next operation."""
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    after = fold(ops).select(*KEY, *ORDER, "t", F.when(F.col("op") == "INCR", F.col("result")).otherwise(F.lit(0)).alias("value"))
+    after = fold_with(ops).select(*KEY, *ORDER, "t", F.when(F.col("op") == "INCR", F.col("result")).otherwise(F.lit(0)).alias("value"))
     after = after.withColumn("__next", F.lead("t").over(w))
     lapse = windows.window_end(F.col("t"), F.col("bs")) + 1
     lapsed = after.where((F.col("value") > 0) & (F.col("__next").isNull() | (F.col("__next") >= lapse))).select(*KEY, "lsn", F.lit(1 << 30).alias("pos"), lapse.alias("t"), F.lit(0).cast("bigint").alias("value"))

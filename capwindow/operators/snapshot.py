@@ -10,12 +10,30 @@ from capwindow.operators import counters
 from capwindow.schema import COMMANDS, DUMP_PAGE
 
 
-def snapshot_at(ops: DataFrame, lsn: int) -> DataFrame:
+def snapshot_at(ops: DataFrame, lsn: int, fold_with=counters.fold) -> DataFrame:
     """The counters that exist after the operations up to lsn, exactly, whatever came later."""
-    state = counters.state_of(counters.fold(ops.where(F.col("lsn") <= lsn))).where(F.col("op") == "INCR")
+    return _counters(fold_with(ops.where(F.col("lsn") <= lsn)))
+
+
+def _counters(folded: DataFrame) -> DataFrame:
+    state = counters.state_of(folded).where(F.col("op") == "INCR")
     return state.select("key", F.col("bs").alias("batch_size"), "value", F.col("t").alias("tx_at"), F.col("lsn").alias("tx"))
 
 
+def seeded(snapshot: DataFrame, ops: DataFrame, lsn: int) -> DataFrame:
+    """The operations after lsn behind the rows of the snapshot at lsn, which stand as INCR that add their __seed, the value, to the count.
+    Other columns of ops are null there."""
+    seeds = snapshot.select(
+        F.col("tx").alias("lsn"), F.lit(-1).alias("pos"), F.lit("INCR").alias("op"), "key", F.col("batch_size").alias("bs"), F.col("tx_at").alias("t"), F.col("value").alias("__seed")
+    )
+    return seeds.unionByName(ops.where(F.col("lsn") > lsn), allowMissingColumns=True)
+
+
+def advance(snapshot: DataFrame, ops: DataFrame, lsn: int, until: int) -> DataFrame:
+    """The snapshot at until, from that at lsn and the operations between."""
+    return _counters(counters.run_readings(seeded(snapshot, ops.where(F.col("lsn") <= until), lsn)))
+
+
 def restore(snapshot: DataFrame, now: int) -> DataFrame:
     """The rows of a snapshot whose windows haven't lapsed."""
     return snapshot.where(~windows.expired(F.col("tx_at"), F.col("batch_size"), F.lit(now)))
@@ -27,22 +45,13 @@ def max_tx(snapshot: DataFrame) -> DataFrame:
 
 
 def recover(snapshot: DataFrame, ops: DataFrame, lsn: int) -> DataFrame:
-    """The fold of the operations after lsn, begun from the snapshot at lsn: its rows stand before the log as seeds
-    whose value an island that they begin counts on from."""
-    seeds = snapshot.select(
-        F.col("tx").alias("lsn"), F.lit(-1).alias("pos"), F.lit("INCR").alias("op"), "key", F.col("batch_size").alias("bs"), F.col("tx_at").alias("t"), F.col("value").alias("__seed")
-    )
-    tail = ops.where(F.col("lsn") > lsn).withColumn("__seed", F.lit(None).cast("bigint"))
-    w = Window.partitionBy(*counters.KEY).orderBy(*counters.ORDER)
-    rows = counters.fold(seeds.unionByName(tail))
-    begun = F.max(F.when(F.col("result") == 1, F.struct("lsn", "pos", "__seed"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    value = F.when((F.col("op") == "INCR"), F.col("result") + F.coalesce(begun["__seed"] - 1, F.lit(0))).otherwise(F.col("result"))
-    return rows.withColumn("result", value).where(F.col("__seed").isNull()).drop("__seed")
+    """The fold of the operations after lsn, begun from the snapshot at lsn."""
+    return counters.run_readings(seeded(snapshot, ops, lsn)).where(F.col("__seed").isNull()).drop("__seed")
 
 
-def live_after(ops: DataFrame, now: int) -> DataFrame:
+def live_after(ops: DataFrame, now: int, fold_with=counters.fold) -> DataFrame:
     """The counters that garbage collection at the time now keeps."""
-    state = counters.state_of(counters.fold(ops)).where(F.col("op") == "INCR")
+    state = counters.state_of(fold_with(ops)).where(F.col("op") == "INCR")
     return state.where(~windows.collectable(F.col("t"), F.col("bs"), F.lit(now))).select("key", "bs", "value", "t")
 
 
@@ -86,10 +95,10 @@ def next_segment(names: DataFrame, asked: DataFrame) -> DataFrame:
     return both.withColumn("following", F.coalesce(following, F.lit(""))).where(F.col("asked") == 2).select("name", "following")
 
 
-def to_records(ops: DataFrame) -> DataFrame:
-    """Log records of single operations: the command's number, and key, window length and time in hex as arguments."""
+def to_records(ops: DataFrame, *more: str) -> DataFrame:
+    """Log records of single operations: the command's number, and key, window length and time in hex as arguments; more columns stay."""
     number = F.when(F.col("op") == "INCR", COMMANDS["INCR"]).otherwise(COMMANDS["DEL"])
-    return ops.select("lsn", number.alias("command_id"), F.array("key", F.col("bs").cast("string"), commands.time_hex(F.col("t"))).alias("arguments"))
+    return ops.select("lsn", number.alias("command_id"), F.array("key", F.col("bs").cast("string"), commands.time_hex(F.col("t"))).alias("arguments"), *more)
 
 
 def from_records(records: DataFrame) -> DataFrame:

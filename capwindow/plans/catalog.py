@@ -12,11 +12,14 @@ from capwindow import engine
 from capwindow.functions import commands, windows
 from capwindow.operators import counters, oplog, replication, snapshot
 from capwindow.plans import choose
+from capwindow.schema import OPS
 from capwindow.sources import wal
 from capwindow.sources.tables import table
 from capwindow.streaming import counters as streaming
 
-DAY, AS_OF, SNAP = 86400, 1705320000, 5000
+DAY, AS_OF = 86400, 1705320000
+#: The number that snapshots are taken at: half of the log's largest.
+SNAP = "(SELECT (max(event_id) + 1) // 2 FROM events)"
 _QUERIES, _SQL = {}, {}
 
 
@@ -38,6 +41,11 @@ def oracle_sql():
     return dict(_SQL)
 
 
+def _half(spark, sf_dir: str) -> int:
+    """SNAP of these tables, from the statistics of the files."""
+    return ((table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1) // 2
+
+
 # SQL fragments: the logs, and the fold as gaps and islands.
 
 
@@ -353,6 +361,33 @@ def run_commands(spark, sf_dir):
     return engine.run_commands(asked).select("lsn", "response")
 
 
+ALL_WORDS = (
+    "CASE WHEN event_id % 12 = 0 THEN 'WATCH' WHEN event_id % 12 = 1 THEN 'GET' WHEN event_id % 24 = 2 THEN 'MDEL' WHEN event_id % 12 = 3 THEN 'SET' "
+    "WHEN event_id % 12 = 4 THEN 'MSGSIZE' WHEN event_type = 'error' THEN 'DEL' ELSE 'INCR' END"
+)
+
+
+@register(
+    "run_all_commands",
+    f"WITH raw AS (SELECT event_id + 1 AS lsn, 'user_' || user_id AS key, CAST(86400 AS BIGINT) AS bs, epoch_us(ts) // 1000000 AS t, {ALL_WORDS} AS word FROM events), "
+    + fold_ctes(
+        "SELECT lsn, 0 AS pos, CASE word WHEN 'MDEL' THEN 'DEL' ELSE word END AS op, key, bs, t FROM raw WHERE word IN ('INCR', 'DEL', 'MDEL') UNION ALL SELECT lsn, 1, 'DEL', key, bs, t FROM raw WHERE word = 'MDEL'"
+    )
+    + f", {SERIES}, ends AS (SELECT key, bs, lsn, arg_max(op, pos) AS op, arg_max(t, pos) AS t, arg_max(result, pos) AS result FROM folded GROUP BY key, bs, lsn), "
+    "reads AS (SELECT r.lsn, r.word, r.key, r.bs, r.t, e.lsn AS at, CASE WHEN e.op = 'INCR' AND e.t >= r.t - r.t % r.bs THEN e.result ELSE 0 END AS value FROM raw r ASOF LEFT JOIN ends e ON r.key = e.key AND r.bs = e.bs AND r.lsn >= e.lsn WHERE r.word IN ('GET', 'WATCH')), "
+    "seen AS (SELECT w.lsn, arg_min(s.value, s.lsn * 2000000000 + s.pos) AS seen FROM reads w JOIN series s ON w.key = s.key AND w.bs = s.bs WHERE w.word = 'WATCH' AND (s.lsn > w.lsn OR s.lsn = w.at AND s.pos = 1073741824 AND s.t > w.t) AND s.value <> w.value GROUP BY w.lsn), "
+    "done AS (SELECT lsn, string_agg(CAST(result AS VARCHAR), ';' ORDER BY pos) AS r FROM folded GROUP BY lsn) "
+    "SELECT raw.lsn, CASE raw.word WHEN 'SET' THEN 'err|invalid command' WHEN 'MSGSIZE' THEN 'ok|4096' WHEN 'GET' THEN 'ok|' || reads.value WHEN 'WATCH' THEN 'ok|' || seen.seen ELSE 'ok|' || done.r END AS response "
+    "FROM raw LEFT JOIN reads ON raw.lsn = reads.lsn LEFT JOIN seen ON raw.lsn = seen.lsn LEFT JOIN done ON raw.lsn = done.lsn",
+)
+def run_all_commands(spark, sf_dir):
+    """Every command, watches, multi-deletes and errors included, in one log."""
+    pair = F.concat(F.lit(" user_"), F.col("user_id").cast("string"), F.lit(" 86400"))
+    rows = table(spark, sf_dir, "events").withColumn("word", F.expr(ALL_WORDS))
+    text = F.when(F.col("word") == "MSGSIZE", F.col("word")).when(F.col("word") == "MDEL", F.concat("word", pair, pair)).otherwise(F.concat("word", pair))
+    return engine.run_commands(rows.select((F.col("event_id") + 1).alias("lsn"), windows.epoch_seconds(F.col("ts")).alias("t"), text.alias("query"))).select("lsn", "response")
+
+
 # The log
 
 
@@ -383,18 +418,30 @@ def _scratch(spark, name: str) -> str:
 
 @register("wal_decode", f"SELECT lsn, 0 AS pos, op, key, bs, t FROM ({events_sql()})")
 def wal_decode(spark, sf_dir):
-    """The binary form there and back: records in frames by segment, decoded again."""
-    files = wal.segment_bytes(snapshot.segments(events(spark, sf_dir), 1000).join(snapshot.to_records(events(spark, sf_dir)).select("lsn", "command_id", "arguments"), "lsn"))
+    """The binary form there and back: records in frames by segment, written as files and read again."""
+    out = _scratch(spark, "segments")
+    wal.write_segments(wal.segment_bytes(snapshot.to_records(snapshot.segments(events(spark, sf_dir), 10000), "segment")), out)
+    return snapshot.from_records(wal.read_segments(spark, out))
 
-    def decoded(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for content in batch.column("content"):
-                rows = wal.decode_segment(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["lsn", "command_id", "arguments"])
+def _varint_sql(n: str) -> str:
+    return f"CAST(greatest(1, ceil(length(ltrim(bin({n}), '0')) / 7.0)) AS BIGINT)"
+
+
+ROTATE_SQL = (
+    f"WITH o AS ({events_sql()}), r AS (SELECT lsn, [key, CAST(bs AS VARCHAR), lower(to_hex(t))] AS a FROM o), "
+    f"i AS (SELECT lsn, 1 + {_varint_sql('lsn')} + 2 + list_sum(list_transform(a, lambda x: 2 + length(x))) AS n FROM r), "
+    f"s AS (SELECT lsn, CAST(1 + {_varint_sql('n::BIGINT')} + n AS BIGINT) AS bytes FROM i), "
+    "b AS (SELECT *, (sum(bytes) OVER (ORDER BY lsn) - bytes) // 10000 AS file FROM s) "
+    "SELECT 'wal_' || lpad(CAST(min(lsn) AS VARCHAR), 13, '0') || '.log' AS segment, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY file"
+)
 
-    return snapshot.from_records(files.mapInArrow(decoded, "lsn bigint, command_id int, arguments array<string>"))
+
+@register("wal_rotation", ROTATE_SQL)
+def wal_rotation(spark, sf_dir):
+    """Segments of 10,000 bytes."""
+    rotated = wal.rotate(snapshot.to_records(events(spark, sf_dir)), 10000)
+    return rotated.groupBy("segment").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @register("wal_replay_unexpired", fold_sql(f"SELECT * FROM ({events_sql()}) WHERE NOT {AS_OF} > t - t % bs + bs - 1"))
@@ -410,28 +457,28 @@ SNAP_SQL = f"WITH {fold_ctes(events_sql(more=f' WHERE event_id + 1 <= {SNAP}'))}
 
 @register("snapshot_at_lsn", SNAP_SQL + "SELECT * FROM snap")
 def snapshot_at_lsn(spark, sf_dir):
-    return snapshot.snapshot_at(events(spark, sf_dir), SNAP)
+    return snapshot.snapshot_at(events(spark, sf_dir), _half(spark, sf_dir))
 
 
 @register("recover_snapshot_plus_tail", fold_sql(events_sql(), f"SELECT lsn, op, key, bs, t, result FROM folded WHERE lsn > {SNAP}"))
 def recover_snapshot_plus_tail(spark, sf_dir):
-    ops = events(spark, sf_dir)
-    return fold_columns(snapshot.recover(snapshot.snapshot_at(ops, SNAP), ops, SNAP))
+    ops, at = events(spark, sf_dir), _half(spark, sf_dir)
+    return fold_columns(snapshot.recover(snapshot.snapshot_at(ops, at), ops, at))
 
 
 @register("restore_unexpired", SNAP_SQL + f"SELECT * FROM snap WHERE NOT {AS_OF} > tx_at - tx_at % batch_size + batch_size - 1")
 def restore_unexpired(spark, sf_dir):
-    return snapshot.restore(snapshot.snapshot_at(events(spark, sf_dir), SNAP), AS_OF)
+    return snapshot.restore(snapshot.snapshot_at(events(spark, sf_dir), _half(spark, sf_dir)), AS_OF)
 
 
 @register("restore_max_tx", SNAP_SQL + "SELECT coalesce(max(tx), 0) AS max_tx FROM snap")
 def restore_max_tx(spark, sf_dir):
-    return snapshot.max_tx(snapshot.snapshot_at(events(spark, sf_dir), SNAP))
+    return snapshot.max_tx(snapshot.snapshot_at(events(spark, sf_dir), _half(spark, sf_dir)))
 
 
 @register("dump_pages", SNAP_SQL + "SELECT page, count(*) AS rows, min(key) AS first_key, max(key) AS last_key FROM (SELECT key, (row_number() OVER (ORDER BY key, batch_size) - 1) // 10 AS page FROM snap) GROUP BY page")
 def dump_pages(spark, sf_dir):
-    return snapshot.pages(snapshot.snapshot_at(events(spark, sf_dir), SNAP), 10)
+    return snapshot.pages(snapshot.snapshot_at(events(spark, sf_dir), _half(spark, sf_dir)), 10)
 
 
 @register("gc_survivors", f"WITH {fold_ctes(events_sql(3600, more=KNOWN))}, {state_cte()} SELECT key, bs, value, t FROM state WHERE op = 'INCR' AND NOT {AS_OF} > t - t % bs + bs - 1 + 60")
@@ -444,12 +491,12 @@ SEGMENTS_SQL = f"segs AS (SELECT *, 'wal_' || ((lsn - 1) // 1000 * 1000) || '.lo
 
 @register("truncate_segments", f"WITH {SEGMENTS_SQL} SELECT lsn, op, key, bs, t, segment FROM segs WHERE segment NOT IN (SELECT segment FROM segs GROUP BY segment HAVING max(lsn) < {SNAP})")
 def truncate_segments(spark, sf_dir):
-    return snapshot.truncate(snapshot.segments(events(spark, sf_dir), 1000), SNAP).select("lsn", "op", "key", "bs", "t", "segment")
+    return snapshot.truncate(snapshot.segments(events(spark, sf_dir), 1000), _half(spark, sf_dir)).select("lsn", "op", "key", "bs", "t", "segment")
 
 
 @register("removable_segments", f"WITH {SEGMENTS_SQL} SELECT segment, max(lsn) AS last_lsn FROM segs GROUP BY segment HAVING max(lsn) < {SNAP}")
 def removable_segments(spark, sf_dir):
-    return snapshot.removable(snapshot.segments(events(spark, sf_dir), 1000), SNAP)
+    return snapshot.removable(snapshot.segments(events(spark, sf_dir), 1000), _half(spark, sf_dir))
 
 
 @register("segment_upper_bound", f"WITH {SEGMENTS_SQL}, names AS (SELECT DISTINCT segment AS name FROM segs) SELECT name, coalesce((SELECT min(n.name) FROM names n WHERE n.name > names.name), '') AS following FROM names")
@@ -463,16 +510,28 @@ def segment_upper_bound(spark, sf_dir):
 
 @register("replica_catchup", f"SELECT lsn, op, key, bs, t FROM ({events_sql()}) WHERE lsn > {SNAP}")
 def replica_catchup(spark, sf_dir):
-    ops = events(spark, sf_dir)
-    grown = ops.where(F.col("lsn") > SNAP - 500).unionByName(ops.where(F.col("lsn") > SNAP + 500))  # a segment that was sent again
-    return replication.pending(grown, SNAP).select("lsn", "op", "key", "bs", "t")
+    ops, at = events(spark, sf_dir), _half(spark, sf_dir)
+    grown = ops.where(F.col("lsn") > at - 500).unionByName(ops.where(F.col("lsn") > at + 100))  # a segment that was sent again
+    return replication.pending(grown, at).select("lsn", "op", "key", "bs", "t")
 
 
-@register("replica_divergence", "SELECT 0::BIGINT AS only_master, 0::BIGINT AS only_replica")
+@register(
+    "replica_divergence",
+    f"WITH tail AS (SELECT lsn, max(lsn) OVER () AS top FROM ({events_sql()})) "
+    f"SELECT 'caught up' AS replica, count(*) FILTER (lsn > {SNAP}) AS operations, 0::BIGINT AS only_master, 0::BIGINT AS only_replica FROM tail "
+    f"UNION ALL SELECT 'behind', count(*) FILTER (lsn > {SNAP} AND lsn <= top - 100), count(*) FILTER (lsn > {SNAP} AND lsn > top - 100), 0 FROM tail",
+)
 def replica_divergence(spark, sf_dir):
-    ops = events(spark, sf_dir)
-    caught_up = snapshot.recover(snapshot.snapshot_at(ops, SNAP), replication.pending(ops, SNAP), SNAP)
-    return replication.divergence(counters.fold(ops).where(F.col("lsn") > SNAP), caught_up)
+    """A replica that has all operations, and one that lacks the last hundred numbers."""
+    ops, at = events(spark, sf_dir), _half(spark, sf_dir)
+    snap, master = snapshot.snapshot_at(ops, at), counters.fold(ops).where(F.col("lsn") > at)
+    top = ops.agg(F.max("lsn")).first()[0] or 0
+    out = []
+    for name, until in (("caught up", top), ("behind", top - 100)):
+        replica = snapshot.recover(snap, replication.pending(ops.where(F.col("lsn") <= until), at), at)
+        counted = replica.agg(F.count("*").alias("operations")).join(replication.divergence(master, replica))  # one row each
+        out.append(counted.select(F.lit(name).alias("replica"), "operations", "only_master", "only_replica"))
+    return out[0].unionByName(out[1])
 
 
 @register("retry_delays", "SELECT CAST(range AS BIGINT) AS attempt, CAST(least(300, pow(2, range - 1)) AS BIGINT) AS delay FROM range(1, 11)")
@@ -496,9 +555,27 @@ def stream_incr(spark, sf_dir):
     return _stream(spark, sf_dir, False)
 
 
-@register("stream_gc", fold_sql(events_sql()))
+LATE = AS_OF + 864000
+
+
+@register(
+    "stream_gc",
+    f"WITH {fold_ctes(events_sql(3600, more=KNOWN))}, {state_cte()}, top AS (SELECT max(t) AS t FROM folded), "
+    "users AS (SELECT DISTINCT key, bs FROM folded) SELECT lsn, op, key, bs, t, result FROM folded "
+    f"UNION ALL SELECT 1000000000 + CAST(substr(u.key, 6) AS BIGINT), 'DEL', u.key, u.bs, {LATE}, CAST(CASE WHEN s.op = 'INCR' AND NOT top.t > s.t - s.t % s.bs + s.bs - 1 + 60 THEN 1 ELSE 0 END AS BIGINT) "
+    "FROM users u JOIN state s ON u.key = s.key AND u.bs = s.bs, top",
+)
 def stream_gc(spark, sf_dir):
-    return _stream(spark, sf_dir, True)
+    """Hourly counters in two runs of a stream: the log up to a time, then a deletion of every counter, which meets only those that the
+    watermark of the first run has not collected."""
+    out = _scratch(spark, "stream")
+    ops = events(spark, sf_dir, 3600).where(F.col("t") <= AS_OF)
+    number = F.substring("key", 6, 20).cast("bigint") + 1000000000
+    deletes = ops.select("key", "bs").distinct().select(number.alias("lsn"), F.lit(0).alias("pos"), F.lit("DEL").alias("op"), "key", "bs", F.lit(LATE).cast("bigint").alias("t"))
+    for part in (ops, deletes):
+        part.write.mode("append").parquet(f"{out}/log")
+        streaming.drain(streaming.fold_stream(spark.readStream.schema(OPS).parquet(f"{out}/log"), True), f"{out}/checkpoint", f"{out}/rows")
+    return fold_columns(spark.read.parquet(f"{out}/rows"))
 
 
 # Analytics of our own on top of the counters

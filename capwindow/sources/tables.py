@@ -26,26 +26,47 @@ def write_snapshot(snapshot: DataFrame, path: str, lsn: int) -> None:
     snapshot.write.mode("overwrite").parquet(f"{path}/version={lsn}")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """The latest complete version and its number; an empty one and 0 if there is none."""
+def _folder(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = []
-    if fs.exists(root):
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("version=") and fs.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
-                versions.append(int(name.removeprefix("version=")))
+    return hadoop, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    _, root, fs = _folder(spark, path)
+    return fs.exists(root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _, root, fs = _folder(spark, path)
+    fs.delete(root, True)
+
+
+def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions, in order."""
+    hadoop, root, fs = _folder(spark, path)
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(p.getName().removeprefix("version=")) for p in found if p.getName().startswith("version=") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The latest complete version and its number; an empty one and 0 if there is none."""
+    versions = snapshot_versions(spark, path)
     if not versions:
         return spark.createDataFrame([], SNAPSHOT), 0
-    return spark.read.schema(SNAPSHOT).parquet(f"{path}/version={max(versions)}"), max(versions)
+    return spark.read.schema(SNAPSHOT).parquet(f"{path}/version={versions[-1]}"), versions[-1]
+
+
+def drop_snapshots(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all complete versions but the newest ones."""
+    hadoop, _, fs = _folder(spark, path)
+    for version in snapshot_versions(spark, path)[: -max(keep, 1)]:
+        fs.delete(hadoop.Path(f"{path}/version={version}"), True)
 
 
 def drop_segments(spark: SparkSession, path: str, names: list[str]) -> None:
     """Delete the folders of removable segments; there are as many names as segments, not rows."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop, _, fs = _folder(spark, path)
     for name in names:
         fs.delete(hadoop.Path(f"{path}/segment={name}"), True)
 

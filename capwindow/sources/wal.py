@@ -10,8 +10,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from capwindow.operators import oplog
 from capwindow.schema import LOG
 
 FRAME_MAX = 100 << 20
@@ -111,3 +113,60 @@ def segment_bytes(records: DataFrame, segment_col: str = "segment", frame: int =
 
     kept = records.select(records[segment_col].alias("segment"), "lsn", "command_id", "arguments")
     return kept.groupBy("segment").applyInArrow(encoded, "segment string, content binary")
+
+
+def _varint_size(n: Column) -> Column:
+    return F.ceil(F.length(F.bin(n)) / 7).cast("bigint")
+
+
+def record_size(lsn: Column, command_id: Column, arguments: Column) -> Column:
+    """The bytes that a record takes in a frame."""
+    texts = F.aggregate(arguments, F.lit(0).cast("bigint"), lambda n, a: n + 1 + _varint_size(F.octet_length(a)) + F.octet_length(a))
+    inner = F.when(lsn != 0, 1 + _varint_size(lsn)).otherwise(F.lit(0)) + F.when(command_id != 0, 1 + _varint_size(command_id)).otherwise(F.lit(0)) + texts
+    return 1 + _varint_size(inner) + inner
+
+
+def rotate(records: DataFrame, most: int) -> DataFrame:
+    """records with bytes, their size in a frame, and segment, the file that holds them: files of this many bytes in the order of lsn, so that none is
+    larger by more than its last record and its frames' lengths. A file is named by its first lsn, in digits that sort as text."""
+    sized = records.withColumn("bytes", record_size(F.col("lsn"), F.col("command_id"), F.col("arguments")))
+    placed = oplog.running_total(sized, "bytes", "lsn").withColumn("__file", F.floor(F.col("before") / most))
+    names = placed.groupBy("__file").agg(F.concat(F.lit("wal_"), F.lpad(F.min("lsn").cast("string"), 13, "0"), F.lit(".log")).alias("segment"))
+    return placed.join(names, "__file").drop("__file", "before")
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    return hadoop, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def segment_names(spark: SparkSession, path: str) -> list[str]:
+    _, root, fs = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if n.startswith("wal_") and n.endswith(".log"))
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """One segment, of bounded size."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
+def write_segments(files: DataFrame, path: str) -> list[str]:
+    """Write (segment, content) rows as files, one partition of them at a time on the driver, which is the log's one writer. A file appears
+    whole under its name; one that is there already, a segment that has grown, is replaced."""
+    spark = files.sparkSession
+    hadoop, root, fs = _file_system(spark, path)
+    fs.mkdirs(root)
+    names = []
+    for row in files.toLocalIterator():
+        part, whole = hadoop.Path(root, f"_{row['segment']}"), hadoop.Path(root, row["segment"])
+        out = fs.create(part, True)
+        try:
+            out.write(row["content"])
+        finally:
+            out.close()
+        fs.delete(whole, False)
+        fs.rename(part, whole)
+        names.append(row["segment"])
+    return names
