@@ -315,7 +315,8 @@ def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def with_media(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """df with its texts stored as TIFF files; null texts are stored as empty ones."""
     common.small_batches(df.sparkSession)
-    return df.withColumn(out, F.arrow_udf(_encode, "binary")(F.col(text_col)))
+    # Called not deterministic, so that Spark keeps one evaluation where the media is read more than once.
+    return df.withColumn(out, F.arrow_udf(_encode, "binary").asNondeterministic()(F.col(text_col)))
 
 
 def with_pages(df: DataFrame, media_col: str = "media", out: str = "tiff") -> DataFrame:
