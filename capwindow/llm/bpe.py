@@ -6,8 +6,10 @@ pairs of ids to ids: flat arrays in which the pairs of a left token share one sh
 are the constants of one uncorrelated scalar subquery over a local relation, which keeps them out of the plans' texts.
 Every split of a token into two tokens is in the map, so the pairs' ranks are those of the joined bytes.
 
-A word of more than LONG bytes is cut first where no token holds the two neighbouring bytes, as no merge can join these. The fold's time grows with the
-square of such a piece, not of the word.
+The fold's time grows with the square of what it folds, so a word of more than LONG bytes is folded in parts, which gives the same ids: tokens side by side are a
+text's encoding if each two neighbours are the encoding of their joined bytes, as no merge crosses the place between these. So parts of
+LONG bytes are folded, then the stretches between the middles of neighbouring parts. Where two stretches still have the tokens on both sides of their common
+middle that the part had there, that middle is a true boundary; at others the two stretches become one and are folded anew.
 
 Words repeat, so the encodings of the most frequent distinct words (about TABLE_WORDS at most, whatever the corpus) are
 folded once and shared in the same way; every other word is folded where it stands, with the same result.
@@ -33,11 +35,15 @@ from capwindow.llm.common import read_ranks
 TABLE_WORDS = 1 << 18
 #: Longer words are not shared.
 LONGEST = 40
-#: Bytes of words from which on pieces pay.
+#: Longer words, in bytes, are folded in parts of this length.
 LONG = 64
+#: Turns in which parts are joined where they don't fit; the last takes the word as one.
+TURNS = 32
 _ID_BITS = 17
 _MASK = (1 << _ID_BITS) - 1
-NO_RANK = 1 << 40
+#: A rank and its place, for the least rank and the leftmost of its places at once.
+_PLACE_BITS = 28
+NO_RANK = 1 << 62
 
 
 def java_pattern(pattern: str) -> str:
@@ -58,7 +64,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 def rank_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """The literal rank map: the ranks of pairs with the same left token keep their distances, each such row is
-    shifted to where its places are free, and each entry carries its left token. Returns the shifts and the entries."""
+    shifted to where its places are free, and each entry carries its left token, above room for a place. Returns the shifts and the entries."""
     rows: dict[int, list[tuple[int, int]]] = {}
     for pair, rank in pair_ranks(ranks).items():
         rows.setdefault(pair >> _ID_BITS, []).append((pair & _MASK, rank))
@@ -72,7 +78,7 @@ def rank_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
         shifts[left] = shift
         for right, rank in row:
             entries[shift + right] = (left << _ID_BITS) | rank
-    return shifts, entries
+    return shifts, [e << _PLACE_BITS for e in entries]
 
 
 def let(value: Column, use) -> Column:
@@ -101,16 +107,13 @@ class Coder:
         if len(ranks) >= _MASK:
             raise ValueError(f"at most {_MASK - 1} ranks")
         shifts, entries = rank_rows(ranks)
-        together = np.zeros(1 << 16, bool)
-        for token in ranks:
-            together[[a << 8 | b for a, b in zip(token, token[1:])]] = True
-        pieces = [p.hex() for p in sorted(ranks, key=ranks.__getitem__)]
+        pieces = sorted(ranks, key=ranks.__getitem__)
         self.spark, self.pattern = spark, java_pattern(pattern)
-        self.byte_ids = F.lit([ranks[bytes((b,))] for b in range(256)]).cast("array<bigint>")
-        kinds = {"shifts": (shifts, pa.int64()), "entries": (entries, pa.int64()), "together": (together.tolist(), pa.bool_())}
+        self.byte_ids = F.lit([ranks[bytes((b,))] for b in range(256)]).cast("array<int>")
+        kinds = {"shifts": (shifts, pa.int32()), "entries": (entries, pa.int64()), "lengths": ([len(p) for p in pieces], pa.int32())}
         self.tables = {k: pa.array([x], pa.list_(kind)) for k, (x, kind) in kinds.items()}
         self.merges = spark.createDataFrame(pa.table(self.tables))
-        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
+        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([[p.hex() for p in pieces]], pa.list_(pa.string()))}))
         self.known: DataFrame | None = None
 
     @staticmethod
@@ -130,43 +133,81 @@ class Coder:
 
     @staticmethod
     def rank(shifts: Column, entries: Column, left: Column, right: Column) -> Column:
-        """The id of the joined pair; more than the mask where the entry is another pair's."""
-        entry = F.get(entries, (F.get(shifts, left.cast("int")) + right).cast("int"))
-        return entry.bitwiseXOR(F.shiftleft(left, _ID_BITS))
+        """The id of the joined pair above room for a place; more than any such where the entry is another pair's."""
+        entry = F.get(entries, F.get(shifts, left) + right)
+        return entry.bitwiseXOR(F.shiftleft(left.cast("bigint"), _ID_BITS + _PLACE_BITS))
 
-    def fold(self, shifts: Column, entries: Column, together: Column, word: Column) -> Column:
+    def fold(self, shifts: Column, entries: Column, lengths: Column, word: Column) -> Column:
         """The word's ids."""
-        letters = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))
-        id_of = lambda c: F.get(self.byte_ids, F.ascii(c))
-        rank = lambda a, b: F.coalesce(self.rank(shifts, entries, a, b), F.lit(NO_RANK))
+        letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        rank = lambda a, b: self.rank(shifts, entries, a, b)
+        short = lambda ids: self.fold_one_by_one(rank, ids)
+        either = lambda ids: F.when(F.size(ids) <= LONG, short(ids)).otherwise(self.fold_parts(short, lengths, ids))
+        return let(F.transform(letters, lambda c: F.get(self.byte_ids, F.ascii(c))), either)
 
-        def pieces(c: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | ~F.get(together, F.ascii(F.get(c, i - 1)) * 256 + F.ascii(F.get(c, i))))
-            return let(starts, lambda at: F.transform(at, lambda x, k: F.slice(c, x + 1, F.coalesce(F.get(at, k + 1), F.size(c)) - x)))
+    @staticmethod
+    def fold_parts(short, lengths: Column, ids: Column) -> Column:
+        """The state holds where the parts begin, each with the tokens expected on both sides, and the result once all are met."""
+
+        def begin(at: Column, left: Column, right: Column) -> Column:
+            return F.struct(at.cast("int").alias("at"), left.alias("left"), right.alias("right"))
+
+        def state(begins: Column, out: Column) -> Column:
+            return F.struct(begins.alias("begins"), out.cast("array<int>").alias("out"))
+
+        none = F.lit(-1)
+        first = begin(F.lit(0), none, none)
+
+        def middle(part: Column, at: Column) -> Column:
+            half = F.floor(F.size(part) / 2).cast("int")
+            end = F.aggregate(F.slice(part, 1, half), at, lambda sum_, i: sum_ + F.get(lengths, i))
+            return begin(end, F.get(part, half - 1), F.get(part, half))
+
+        def middles(begins: Column, parts: Column) -> Column:
+            cuts = F.transform(F.filter(F.arrays_zip(begins.alias("b"), parts.alias("p")), lambda x: F.size(x["p"]) > 1), lambda x: middle(x["p"], x["b"]["at"]))
+            return F.concat(F.array(first), cuts)
 
-        cut = F.when(F.octet_length(word) > LONG, let(letters, pieces)).otherwise(F.array(letters))
-        return F.flatten(F.transform(cut, lambda c: self.fold_one_by_one(rank, F.transform(c, id_of), F.size(c)))).cast("array<int>")
+        def true_ones(begins: Column, parts: Column) -> Column:
+            met = lambda b, k: (F.element_at(F.get(parts, k - 1), -1) == b["left"]) & (F.get(F.get(parts, k), F.lit(0)) == b["right"])
+            return F.filter(begins, lambda b, k: (k == 0) | met(b, k))
+
+        def judged(begins: Column, parts: Column, left: Column) -> Column:
+            all_met = F.size(left) == F.size(begins)
+            return state(left, F.when(all_met, F.flatten(parts)))
+
+        def step(at: Column, turn: Column) -> Column:
+            begins = at["begins"]
+            until = lambda k: F.coalesce(F.get(begins, k + 1)["at"], F.size(ids))
+            parts = F.transform(begins, lambda b, k: short(F.slice(ids, b["at"] + 1, until(k) - b["at"])))
+            go_on = lambda parts: (
+                F.when(turn == 1, state(middles(begins, parts), F.lit(None)))
+                .when(turn == TURNS - 1, state(F.array(first), F.lit(None)))
+                .otherwise(let(true_ones(begins, parts), lambda left: judged(begins, parts, left)))
+            )
+            return F.when(at["out"].isNotNull(), at).otherwise(let(parts, go_on))
+
+        starts = F.transform(F.sequence(F.lit(0), F.size(ids) - 1, F.lit(LONG)), lambda x: begin(x, none, none))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), state(starts, F.lit(None)), step, lambda at: at["out"])
 
     @staticmethod
-    def fold_one_by_one(rank, ids: Column, n: Column) -> Column:
-        """The state holds ids and the ranks of neighbours. Slices and concatenations of arrays are slow outside generated
+    def fold_one_by_one(rank, ids: Column) -> Column:
+        """The state holds ids and the least rank of neighbours with its place. Slices and concatenations of arrays are slow outside generated
         code, so a merge rewrites one place and filters out the next."""
 
         def state(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks"))
+            placed = lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(i)
+            return F.struct(ids.alias("ids"), F.coalesce(F.array_min(F.transform(ids, placed)), F.lit(NO_RANK)).alias("least"))
 
-        def step(at: Column, _: Column) -> Column:
-            def merge(least: Column, p: Column) -> Column:
-                put = F.transform(at["ids"], lambda x, i: F.when(i == p, least).otherwise(x))
-                return let(F.filter(put, lambda x, i: i != p + 1), state)
-
-            def go_on(least: Column) -> Column:
-                place = F.array_position(at["ranks"], least).cast("int") - 1
-                return F.when(least > _MASK, at).otherwise(let(place, lambda p: merge(least, p)))
+        def merge(at: Column, p: Column) -> Column:
+            put = F.transform(at["ids"], lambda x, i: F.when(i == p, F.shiftright(at["least"], _PLACE_BITS).cast("int")).otherwise(x))
+            return let(let(p + 1, lambda q: F.filter(put, lambda _, i: i != q)), state)
 
-            return let(F.array_min(at["ranks"]), go_on)
+        def step(at: Column, _: Column) -> Column:
+            place = at["least"].bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+            return F.when(at["least"] >= 1 << (_ID_BITS + _PLACE_BITS), at).otherwise(let(place, lambda p: merge(at, p)))
 
-        return F.aggregate(F.sequence(F.lit(2), n), let(ids, state), step, lambda at: at["ids"])
+        # As many steps as pairs.
+        return F.aggregate(F.slice(ids, 2, F.size(ids)), state(ids), step, lambda at: at["ids"])
 
     def learn(self, words: DataFrame, most: int = TABLE_WORDS) -> None:
         """Share the encodings of the most frequent words; words has the column w, one row an occurrence.
@@ -191,10 +232,10 @@ class Coder:
         if self.known is None:
             return self.using(df, out, self.merges, lambda *merges: F.flatten(F.transform(words, lambda w: self.fold(*merges, w))))
 
-        def ids(shifts: Column, entries: Column, together: Column, known: Column) -> Column:
+        def ids(shifts: Column, entries: Column, lengths: Column, known: Column) -> Column:
             def of(w: Column) -> Column:
                 place = F.pmod(F.xxhash64(w), F.size(known).cast("bigint")).cast("int")
-                return F.coalesce(F.try_element_at(F.get(known, place), w), self.fold(shifts, entries, together, w))
+                return F.coalesce(F.try_element_at(F.get(known, place), w), self.fold(shifts, entries, lengths, w))
 
             return F.flatten(F.transform(words, of))
 

@@ -785,12 +785,30 @@ def test_sections_by_definition(spark, tokenizer):
 def test_long_words(spark, tokenizer):
     rng = random.Random(9)
     words = ["x" * 65, "b" + "x" * 300, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "https://" + "".join(rng.choice("aZ09/-_%") for _ in range(900)), "日本語のテキスト" * 30]
+    # The square of 20,000 would take most of a minute a word.
+    words += ["".join(rng.choice("etaoinshrdlu") for _ in range(20000)), "a" * 20000, "ab" * 500, "=" * 1001, "=-" * 333]
+    words += ["".join(rng.choice("ab") for _ in range(n)) for n in (64, 65, 127, 128, 129, 1000)]
     coder = bpe.Coder(spark, *tokenizer[:2])
     df = spark.createDataFrame([(w, "own") for w in words], "text string, constants string")
     for r in coder.with_ids(df, "text", "ids").collect():
         assert r.ids == tokenizer[2].encode_ordinary(r.text) and r.constants == "own"
 
 
+def test_parts_that_do_not_fit(spark):
+    """A vocabulary whose merges depend on places far off, so that parts must be joined, some of them up to the whole word."""
+    import tiktoken
+
+    tokens = [bytes((b,)) for b in range(256)] + [b"ab", b"ba", b"aba", b"abab", b"bab", b"aa", b"aaa", b"aaaaa", b"aaaaaaa", b"bb", b"abb"]
+    ranks = {t: i for i, t in enumerate(tokens)}
+    whole = tiktoken.Encoding("small", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abc", (6, 6, k % 2))[0] for _ in range(n)) for k in range(6) for n in (65, 130, 333)] + [c * n for c in ("a", "b", "ba", "aab") for n in (66, 101, 200)]
+    coder = bpe.Coder(spark, ranks, r"\p{L}+")
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    for r in coder.with_ids(df, "text", "ids").collect():
+        assert r.ids == whole.encode_ordinary(r.text)
+
+
 def test_trees():
     """The number of trees follows from the recall; more is wanted, or deeper, or less alike, and there are more."""
     assert neardup.trees_for(0.999, 0.85) > neardup.trees_for(0.99, 0.85) >= neardup.trees_for(0.99, 0.95)
