@@ -113,7 +113,8 @@ class Coder:
         kinds = {"shifts": (shifts, pa.int32()), "entries": (entries, pa.int64()), "lengths": ([len(p) for p in pieces], pa.int32())}
         self.tables = {k: pa.array([x], pa.list_(kind)) for k, (x, kind) in kinds.items()}
         self.merges = spark.createDataFrame(pa.table(self.tables))
-        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([[p.hex() for p in pieces]], pa.list_(pa.string()))}))
+        # A cast takes bytes as a string's without a look at them.
+        self.pieces = spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.binary()))})).select(F.col("pieces").cast("array<string>"))
         self.known: DataFrame | None = None
 
     @staticmethod
@@ -243,7 +244,7 @@ class Coder:
 
     def with_bytes(self, df: DataFrame, ids_col: str, out: str) -> DataFrame:
         """df with the bytes that its ids stand for."""
-        return self.using(df, out, self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), "")))
+        return self.using(df, out, self.pieces, lambda pieces: F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), "").cast("binary"))
 
 
 def encode_texts(df: DataFrame, coder: Coder, text_col: str = "text", out: str = "ids", most: int = TABLE_WORDS) -> DataFrame:
