@@ -1,13 +1,16 @@
 """Binary log segments: frames of a 4-byte big-endian length and a protobuf batch of records.
 
 A batch repeats field 1, a record; a record has field 1, its number, field 2, the command's number, and repeats field 3, an argument.
-Segments are read in parallel, one file a task, through Spark's binaryFile source, so any file system that Spark knows will do.
+Segments are read in parallel, one file a task, through Spark's binaryFile source, and written in parallel through its text writer, so any file system
+that Spark knows will do. A written segment ends in an empty frame, a batch without records.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,8 @@ from capwindow.operators import oplog
 from capwindow.schema import LOG
 
 FRAME_MAX = 100 << 20
+#: An empty frame: the length 0.
+END = "\0\0\0\0"
 
 
 def put_varint(n: int) -> bytes:
@@ -153,20 +158,30 @@ def read_file(spark: SparkSession, path: str) -> bytes:
 
 
 def write_segments(files: DataFrame, path: str) -> list[str]:
-    """Write (segment, content) rows as files, one partition of them at a time on the driver, which is the log's one writer. A file appears
-    whole under its name; one that is there already, a segment that has grown, is replaced."""
+    """Write (segment, content) rows as files, each by the task that holds the row; only names reach the driver, which is the log's one writer. The bytes
+    go through Spark's text writer as they are; the separator that it puts behind them is an empty frame. A file appears whole under its name; one that is
+    there already, a segment that has grown, is replaced. Two rows of one name are an error."""
     spark = files.sparkSession
     hadoop, root, fs = _file_system(spark, path)
     fs.mkdirs(root)
-    names = []
-    for row in files.toLocalIterator():
-        part, whole = hadoop.Path(root, f"_{row['segment']}"), hadoop.Path(root, row["segment"])
-        out = fs.create(part, True)
-        try:
-            out.write(row["content"])
-        finally:
-            out.close()
-        fs.delete(whole, False)
-        fs.rename(part, whole)
-        names.append(row["segment"])
-    return names
+    incoming = hadoop.Path(root, f"_{uuid.uuid4().hex}")
+    try:
+        rows = files.select("segment", F.col("content").cast("string"))
+        rows.write.partitionBy("segment").options(lineSep=END, compression="none", maxRecordsPerFile=1).text(incoming.toString())
+        found, written = {}, fs.listFiles(incoming, True)
+        while written.hasNext():
+            file = written.next().getPath()
+            folder = file.getParent().getName()
+            if folder.startswith("segment="):
+                name = unquote(folder.removeprefix("segment="))
+                if name in found:
+                    raise ValueError(f"two rows of segment {name}")
+                found[name] = file
+        for name, file in found.items():
+            whole = hadoop.Path(root, name)
+            fs.delete(whole, False)
+            if not fs.rename(file, whole):
+                raise OSError(f"{file.toString()} can't be renamed to {name}")
+    finally:
+        fs.delete(incoming, True)
+    return list(found)

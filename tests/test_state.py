@@ -1,5 +1,6 @@
 """The stateful parts: dumps with truncation, commits, replicas over the network, watches and rotated segments."""
 
+import random
 import threading
 
 import pytest
@@ -93,6 +94,33 @@ def test_rotation_by_bytes(spark, tmp_path):
     assert sorted(map(tuple, wal.read_segments(spark, path).collect())) == rows
 
 
+def test_segments_stay_off_the_driver(spark, tmp_path):
+    pick, path = random.Random(1), str(tmp_path / "segments")
+    rows = [(i, 1, ["é\n\0" + pick.randbytes(1000).hex(), "60", "65a0"]) for i in range(1, 2001)]
+    segmented = spark.createDataFrame([(*r, f"wal_{r[0] // 1000}.log") for r in rows], f"{LOG}, segment string")
+    limits = spark.sparkContext._jsc.sc().conf()
+    limits.set("spark.driver.maxResultSize", "200k")  # each large segment has 2 MB
+    try:
+        names = wal.write_segments(wal.segment_bytes(segmented), path)
+    finally:
+        limits.remove("spark.driver.maxResultSize")
+    assert sorted(names) == wal.segment_names(spark, path) == sorted(p.name for p in (tmp_path / "segments").iterdir() if p.suffix != ".crc") == ["wal_0.log", "wal_1.log", "wal_2.log"]
+    mine = [r for r in rows if r[0] // 1000 == 1]
+    assert wal.read_file(spark, f"{path}/wal_1.log") == b"".join(wal.encode_frame(mine[i : i + 100]) for i in range(0, 1000, 100)) + b"\0" * 4
+    assert sorted(map(tuple, wal.read_segments(spark, path).collect())) == rows
+
+
+def test_odd_segments(spark, tmp_path):
+    path, kind = str(tmp_path / "segments"), "segment string, content binary"
+    assert wal.write_segments(spark.createDataFrame([], kind), path) == []
+    every = bytes(range(256)) * 2
+    wal.write_segments(spark.createDataFrame([("wal_1.log", bytearray(every)), ("wal_2.log", bytearray())], kind), path)
+    with pytest.raises(ValueError, match="two rows of segment wal_1.log"):
+        wal.write_segments(spark.createDataFrame([("wal_1.log", bytearray(b"a")), ("wal_1.log", bytearray(b"b"))], kind).coalesce(1), path)
+    assert wal.read_file(spark, f"{path}/wal_1.log") == every + b"\0" * 4 and wal.decode_segment(wal.read_file(spark, f"{path}/wal_2.log")) == []
+    assert sorted(p.name for p in (tmp_path / "segments").iterdir() if p.suffix != ".crc") == ["wal_1.log", "wal_2.log"]
+
+
 def test_running_total(spark):
     df = spark.range(500).selectExpr("id * 7 % 500 AS x", "id * 7 % 500 + 1 AS n").repartition(6)
     assert [(r.x, r.before) for r in oplog.running_total(df, "n", "x").orderBy("x").collect()] == [(i, i * (i + 1) // 2) for i in range(500)]
